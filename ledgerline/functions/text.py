@@ -124,3 +124,8 @@ def keyword_score(token: Column, keywords: Sequence[str]) -> Column:
         .when(contains, F.lit(HEADER_CONTAINS_SCORE))
         .otherwise(F.lit(0.0))
     )
+
+
+def filled_or_null(c: Column) -> Column:
+    """The text, or NULL when it is blank."""
+    return F.when(~is_blank(c), c)

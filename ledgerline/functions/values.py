@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import header_token, is_blank, strip
+from .text import header_token, strip
 
 AMOUNT_TYPE = "decimal(38,18)"
 MONEY_TYPE = "decimal(38,2)"
@@ -170,7 +170,3 @@ def month_first_year(
 def month_end_year(month: Column, end_month: Column, year: Column) -> Column:
     """Year of a month in a one-month statement: months well past its end belong to last year."""
     return F.when(month > end_month + 1, year - 1).otherwise(year)
-
-
-def filled(c: Column) -> Column:
-    return ~is_blank(c)
