@@ -69,39 +69,26 @@ def table_type(c: Column) -> Column:
 
 def month_number(name: Column) -> Column:
     """1..12 from the first three letters of an English month name, else NULL."""
-    at = F.array_position(F.array(*[F.lit(m) for m in SHORT_MONTHS]), F.substring(name, 1, 3))
-    return F.when(at > 0, at.cast("int"))
+    names = F.create_map(*[F.lit(x) for n, m in enumerate(SHORT_MONTHS, 1) for x in (m, n)])
+    return F.try_element_at(names, F.substring(name, 1, 3))
 
 
 def calendar_date(year: Column, month: Column, day: Column) -> Column:
     """A date, or NULL when there is no such day."""
-    first = F.make_date(year, month, F.lit(1))
-    in_range = month.between(1, 12) & (day >= 1)
-    return F.when(
-        in_range,
-        F.when(day <= F.day(F.last_day(first)), F.make_date(year, month, day)),
-    )
-
-
-def clamped_date(year: Column, month: Column, day: Column) -> Column:
-    """A date whose day 29..31 is moved back to the end of a shorter month."""
-    first = F.make_date(year, month, F.lit(1))
-    in_range = month.between(1, 12) & day.between(1, 31)
-    return F.when(
-        in_range, F.make_date(year, month, F.least(day, F.day(F.last_day(first))))
-    )
+    return F.try_to_date(F.concat_ws("-", F.lpad(year, 4, "0"), month, day), "yyyy-M-d")
 
 
-# Pattern letters, longest first, and the text that each of them reads.
+# Pattern letters, longest first, a mark to stand for them, and the text that they read. Month and
+# day take part only within 1..12 and 1..31; a month name is read as its first three letters.
 _PATTERN_TOKENS = [
     (r"uuuu|yyyy", "\u0001", r"(?<y>\d{4})"),
     (r"uu|yy", "\u0002", r"(?<y>\d{2})"),
-    (r"MMMM", "\u0003", "(?<m>" + "|".join(MONTHS) + ")"),
+    (r"MMMM", "\u0003", "(?=(?:" + "|".join(MONTHS) + r")\b)(?<m>\w{3})\w*"),
     (r"MMM", "\u0004", "(?<m>" + "|".join(SHORT_MONTHS) + ")"),
-    (r"MM", "\u0005", r"(?<m>\d{2})"),
-    (r"M", "\u0006", r"(?<m>\d{1,2})"),
-    (r"dd", "\u0007", r"(?<d>\d{2})"),
-    (r"d", "\u0008", r"(?<d>\d{1,2})"),
+    (r"MM", "\u0005", r"(?<m>0[1-9]|1[0-2])"),
+    (r"M", "\u0006", r"(?<m>0?[1-9]|1[0-2])"),
+    (r"dd", "\u0007", r"(?<d>0[1-9]|[12]\d|3[01])"),
+    (r"d", "\u0008", r"(?<d>0?[1-9]|[12]\d|3[01])"),
     (r"HH", "\u000e", r"(?:[01]\d|2[0-3])"),
     (r"mm|ss", "\u000f", r"[0-5]\d"),
 ]
@@ -118,10 +105,11 @@ def date_pattern_regex(pattern: Column) -> Column:
         regex = F.regexp_replace(regex, letters, mark)
     for _, mark, reads in _PATTERN_TOKENS:
         regex = F.replace(regex, F.lit(mark), F.lit(reads))
-    for group in "ymd":
-        named = f"(?<{group}>"
-        regex = F.when(regex.contains(named), regex).otherwise(F.concat(regex, F.lit(named + ")")))
-    return F.concat(F.lit(r"\A"), regex, F.lit(r"\z"))
+    absent = [
+        F.when(pattern.rlike(letter), "").otherwise(f"(?<{group}>)")
+        for group, letter in (("y", "[uy]"), ("m", "M"), ("d", "d"))
+    ]
+    return F.concat(F.lit(r"\A"), regex, *absent, F.lit(r"\z"))
 
 
 def simplified_pattern(pattern: Column) -> Column:
@@ -129,21 +117,25 @@ def simplified_pattern(pattern: Column) -> Column:
     return F.trim(F.regexp_replace(pattern, r"\s*HH(:mm(:ss)?)?", ""))
 
 
+_MONTH_NUMBERS = {
+    **{name: n for n, name in enumerate(SHORT_MONTHS, 1)},
+    **{str(n): n for n in range(1, 10)},
+    **{f"{n:02d}": n for n in range(1, 13)},
+}
+
+
 def read_date(value: Column, regex: Column) -> Column:
-    """Read ``value`` by an expression of ``date_pattern_regex``; NULL when it does not fit."""
-    found = F.regexp_replace(value, regex, F.lit("@${y}-${m}-${d}"))
-    shape = r"\A@(\d+)-(\w+)-(\d+)\z"
-    year = F.regexp_extract(found, shape, 1)
-    month = F.regexp_extract(found, shape, 2)
-    full_year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-    return F.when(
-        found.rlike(shape),
-        clamped_date(
-            full_year.cast("int"),
-            F.coalesce(month.try_cast("int"), month_number(month)),
-            F.regexp_extract(found, shape, 3).cast("int"),
-        ),
-    )
+    """Read ``value`` by an expression of ``date_pattern_regex``; NULL when it does not fit.
+
+    Two-digit years are 20yy, and day 29..31 is moved back to the end of a shorter month.
+    """
+    found = F.regexp_replace(value, regex, F.lit("@20${y}-${m}-${d}"))
+    year = F.regexp_extract(found, r"\A@(?:20)?(\d{4})-", 1).try_cast("int")
+    month = F.regexp_extract(found, r"\A@\d+-(\w+)-", 1)
+    day = F.regexp_extract(found, r"\A@\d+-\w+-(\d+)\z", 1).try_cast("int")
+    numbers = F.create_map(*[F.lit(x) for pair in _MONTH_NUMBERS.items() for x in pair])
+    first = F.make_date(year, F.try_element_at(numbers, month), F.lit(1))
+    return F.least(F.date_add(first, day - 1), F.last_day(first))
 
 
 def statement_date(value: Column, pattern: Column) -> Column:

@@ -128,7 +128,7 @@ ORACLES["actor_scope"] = f"""{BASE}
 
 ORACLES["normalize_description"] = """SELECT doc_id,
     md5(regexp_replace(upper(nfkd), '[^\\p{L}\\p{Nd}]', '', 'g')) AS digest
-  FROM (SELECT doc_id, strip_accents(text) AS nfkd FROM documents)"""
+  FROM (SELECT doc_id, strip_accents(replace(text, 'ß', 'ss')) AS nfkd FROM documents)"""
 
 ORACLES["numeric_tokens"] = """SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest
   FROM (SELECT doc_id, regexp_extract_all(text, '\\p{Nd}+') AS t FROM documents)"""
@@ -661,7 +661,7 @@ ORACLES["text_table_roundtrip"] = statement(
 ORACLES["line_grouping"] = """WITH r AS (SELECT o_orderkey // 20 AS n,
     CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS page FROM orders),
   g AS (SELECT n, page, count(*) AS lines, count(*) * 4 AS cells FROM r GROUP BY 1, 2
-    UNION ALL SELECT DISTINCT n, 1, 3, 1 + 7 + 3 FROM r)
+    UNION ALL SELECT DISTINCT n, 1, 3, 2 + 7 + 3 FROM r)
   SELECT concat('two-', cast(n AS varchar)) AS file_id, page, sum(lines)::bigint AS lines,
     sum(cells)::bigint AS cells FROM g GROUP BY n, page"""
 
@@ -765,7 +765,7 @@ ORACLES["table_ranking"] = """WITH f0 AS (SELECT o_orderkey // 20 AS n, count(*)
   SELECT concat('tab-', cast(n AS varchar)) AS file_id,
     concat('p1-l', CASE WHEN n % 2 = 0 THEN '2' ELSE '1' END, '-',
       cast(CASE WHEN n % 2 = 0 THEN 3 + c ELSE 2 + c END AS varchar)) AS candidate_id, 1 AS rank,
-    CASE WHEN n % 2 = 0 THEN 0.98::double ELSE 0.97::double END AS confidence,
+    CASE WHEN n % 2 = 0 THEN 0.99::double ELSE 0.97::double END AS confidence,
     CASE WHEN n % 2 = 0 THEN 'Transaction Date' ELSE 'Date' END AS date_header,
     CASE WHEN n % 2 = 0 THEN 'MMM d' WHEN day(d) > 12 THEN 'dd/MM/uuuu' ELSE 'MM/dd/uuuu' END
       AS date_format,

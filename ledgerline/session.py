@@ -62,3 +62,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def by_key(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows shuffled by key into ``spark.sql.shuffle.partitions`` tasks.
+
+    Parsing costs far more time than its bytes suggest, so its partitions must not be merged by size;
+    a repartition by number is left alone by adaptive execution.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
