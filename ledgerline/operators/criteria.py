@@ -209,15 +209,21 @@ def with_view_conditions(views: DataFrame, as_of: date) -> DataFrame:
     )
 
 
+def with_lower_text(tx: DataFrame) -> DataFrame:
+    """Transactions with the lower-case texts that ``view_predicate`` searches, made once per row."""
+    fields = ("currency_iso_code", "bank_name", "account_id", "description")
+    return tx.select("*", *[F.lower(name).alias(f"l_{name}") for name in fields])
+
+
 def view_predicate() -> Column:
-    """Whether a transaction row fits the condition columns of a view row joined to it."""
+    """Whether a transaction row (of ``with_lower_text``) fits the condition columns of a view row
+    joined to it."""
 
     def open_or(bound: Column, test: Column) -> Column:
         return bound.isNull() | test
 
     def any_word(words: Column, field: Column) -> Column:
-        low = F.lower(field)
-        return (F.size(words) == 0) | F.exists(words, lambda w: F.contains(low, w))
+        return (F.size(words) == 0) | F.exists(words, lambda w: F.contains(field, w))
 
     col = F.col
     return (
@@ -228,9 +234,9 @@ def view_predicate() -> Column:
         & open_or(col("v_type"), col("type") == col("v_type"))
         & (
             (F.size("v_currencies") == 0)
-            | F.array_contains(col("v_currencies"), F.lower(col("currency_iso_code")))
+            | F.array_contains(col("v_currencies"), col("l_currency_iso_code"))
         )
-        & any_word(col("v_banks"), col("bank_name"))
-        & any_word(col("v_accounts"), col("account_id"))
-        & any_word(col("v_words"), col("description"))
+        & any_word(col("v_banks"), col("l_bank_name"))
+        & any_word(col("v_accounts"), col("l_account_id"))
+        & any_word(col("v_words"), col("l_description"))
     )

@@ -13,7 +13,14 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .criteria import active, id_set_text, view_predicate, with_view_conditions
+from .criteria import (
+    active,
+    id_set,
+    id_set_text,
+    view_predicate,
+    with_lower_text,
+    with_view_conditions,
+)
 
 VIEW_FIELDS = [
     "id", "owner_id", "account_id", "bank_name", "date",
@@ -22,7 +29,7 @@ VIEW_FIELDS = [
 
 
 def _owned(tx: DataFrame) -> DataFrame:
-    return active(tx).select(*VIEW_FIELDS)
+    return with_lower_text(active(tx).select(*VIEW_FIELDS))
 
 
 def _matching(conditions: DataFrame, tx: DataFrame) -> DataFrame:
@@ -132,8 +139,6 @@ def fold_view_events(
 
 
 def _stored_events(views: DataFrame) -> DataFrame:
-    from .criteria import id_set
-
     def stored(column: str, action: str) -> DataFrame:
         return views.select(
             F.col("id").alias("view_id"),
