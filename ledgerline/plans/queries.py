@@ -15,6 +15,7 @@ from ..functions import values as V
 from ..operators import changes, dedup, formats, inference, quality, search, views
 from ..operators.criteria import Criteria, active, criteria_filter, id_set, scope_to_actor
 from ..operators.importing import import_batch
+from ..session import materialize
 from ..sources import chunks as C
 from ..sources import csv_statements, files, line_layouts, revisions, text_tables, two_column
 from . import tables as S
@@ -924,7 +925,7 @@ def table_ranking(spark, sf_dir):
 def table_mapping_preview(spark, sf_dir):
     """Every rendered text table read under the mapping inferred for it."""
     chunks = S.table_chunks(spark, sf_dir)
-    lines = C.lines_to_cells(C.chunks_to_lines(chunks))
+    lines = materialize(C.lines_to_cells(C.chunks_to_lines(chunks)))
     best = inference.rank_table_candidates(C.detect_tables(lines)).where("rank = 1")
     mappings = best.select(
         "file_id",

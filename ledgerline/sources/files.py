@@ -15,7 +15,8 @@ MAX_FILE_BYTES = 25 * 1024 * 1024
 def read_statement_files(spark: SparkSession, path: str) -> DataFrame:
     """path, filename, length, content and ``error`` of every file below a folder.
 
-    The bytes of a file above the limit are not read: its length alone makes the error row.
+    The bytes of a file above the limit are not read: its length alone makes the error row. Spark's
+    file sources list no files of length zero; ``check_files`` marks them in tables that have them.
     """
     every = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
