@@ -681,7 +681,7 @@ def revision_selection(spark, sf_dir):
 def csv_statement_roundtrip(spark, sf_dir):
     catalogue = S.csv_catalogue(spark)
     rows, attempts = csv_statements.parse_csv_statements(
-        S.csv_files(spark, sf_dir, 3653), *catalogue, S.LATER
+        materialize(S.csv_files(spark, sf_dir, 3653)), *catalogue, S.LATER
     )
     chosen = revisions.selected_rows(rows, attempts)
     return chosen.withColumn("amount", F.col("amount").cast("decimal(38,2)")).drop("parser_revision_id")
@@ -691,7 +691,7 @@ def csv_statement_roundtrip(spark, sf_dir):
 def csv_file_status(spark, sf_dir):
     catalogue = S.csv_catalogue(spark)
     _, attempts = csv_statements.parse_csv_statements(
-        S.csv_files(spark, sf_dir, 0), *catalogue, S.AS_OF
+        materialize(S.csv_files(spark, sf_dir, 0)), *catalogue, S.AS_OF
     )
     return attempts.drop("priority")
 
@@ -720,7 +720,7 @@ def _layout_rows(rows: DataFrame) -> DataFrame:
 @query
 def card_monthly_roundtrip(spark, sf_dir):
     rows, _ = line_layouts.parse_line_layout(
-        S.card_monthly_lines(spark, sf_dir), line_layouts.CARD_MONTHLY
+        materialize(S.card_monthly_lines(spark, sf_dir)), line_layouts.CARD_MONTHLY
     )
     return _layout_rows(rows).drop("category", "account_id")
 
@@ -728,7 +728,7 @@ def card_monthly_roundtrip(spark, sf_dir):
 @query
 def card_split_roundtrip(spark, sf_dir):
     rows, _ = line_layouts.parse_line_layout(
-        S.card_split_lines(spark, sf_dir), line_layouts.CARD_MONTHLY
+        materialize(S.card_split_lines(spark, sf_dir)), line_layouts.CARD_MONTHLY
     )
     return _layout_rows(rows).drop("category", "account_id")
 
@@ -736,7 +736,7 @@ def card_split_roundtrip(spark, sf_dir):
 @query
 def bank_monthly_roundtrip(spark, sf_dir):
     rows, _ = line_layouts.parse_line_layout(
-        S.bank_monthly_lines(spark, sf_dir), line_layouts.BANK_MONTHLY
+        materialize(S.bank_monthly_lines(spark, sf_dir)), line_layouts.BANK_MONTHLY
     )
     return _layout_rows(rows)
 
@@ -744,7 +744,7 @@ def bank_monthly_roundtrip(spark, sf_dir):
 @query
 def card_yearly_roundtrip(spark, sf_dir):
     rows, _ = line_layouts.parse_line_layout(
-        S.card_yearly_lines(spark, sf_dir), line_layouts.CARD_YEARLY
+        materialize(S.card_yearly_lines(spark, sf_dir)), line_layouts.CARD_YEARLY
     )
     return _layout_rows(rows).drop("account_id")
 
@@ -752,7 +752,7 @@ def card_yearly_roundtrip(spark, sf_dir):
 @query
 def layout_attempts(spark, sf_dir):
     """Every line layout tried on every rendered line statement."""
-    lines = (
+    lines = materialize(
         S.card_monthly_lines(spark, sf_dir)
         .unionByName(S.bank_monthly_lines(spark, sf_dir))
         .unionByName(S.card_yearly_lines(spark, sf_dir))
@@ -766,21 +766,21 @@ def layout_attempts(spark, sf_dir):
 
 @query
 def two_column_roundtrip(spark, sf_dir):
-    chunks = S.two_column_chunks(spark, sf_dir)
+    chunks = materialize(S.two_column_chunks(spark, sf_dir))
     rows, _ = two_column.parse_two_column(chunks, S.chunk_files(chunks))
     return _layout_rows(rows).drop("category")
 
 
 @query
 def two_column_text_roundtrip(spark, sf_dir):
-    chunks = S.two_column_text_chunks(spark, sf_dir)
+    chunks = materialize(S.two_column_text_chunks(spark, sf_dir))
     rows, _ = two_column.parse_two_column(chunks, S.chunk_files(chunks))
     return _layout_rows(rows).drop("category")
 
 
 @query
 def text_table_roundtrip(spark, sf_dir):
-    chunks = S.table_chunks(spark, sf_dir)
+    chunks = materialize(S.table_chunks(spark, sf_dir))
     rows, attempts = text_tables.parse_text_tables(
         chunks, S.chunk_files(chunks, 2), *S.table_catalogue(spark)
     )
@@ -794,7 +794,7 @@ def text_table_roundtrip(spark, sf_dir):
 @query
 def line_grouping(spark, sf_dir):
     """Lines and cells per file of the rendered two-column statements."""
-    lines = C.lines_to_cells(C.chunks_to_lines(S.two_column_chunks(spark, sf_dir)))
+    lines = C.lines_to_cells(C.chunks_to_lines(materialize(S.two_column_chunks(spark, sf_dir))))
     return lines.groupBy("file_id", "page").agg(
         F.count("*").alias("lines"), F.sum(F.size("cells")).alias("cells")
     )
@@ -802,7 +802,7 @@ def line_grouping(spark, sf_dir):
 
 @query
 def table_detection(spark, sf_dir):
-    lines = C.lines_to_cells(C.chunks_to_lines(S.table_chunks(spark, sf_dir)))
+    lines = C.lines_to_cells(C.chunks_to_lines(materialize(S.table_chunks(spark, sf_dir))))
     return C.detect_tables(lines).select(
         "file_id", "page", "start_line", "end_line", "header", "row_count", "repeated_headers"
     )
@@ -877,7 +877,7 @@ def csv_mapping(spark, sf_dir):
 @query
 def mapping_preview(spark, sf_dir):
     """Every rendered CSV file read under its own inferred mapping."""
-    f = S.csv_files(spark, sf_dir, 3653)
+    f = materialize(S.csv_files(spark, sf_dir, 3653))
     mappings = inference.infer_csv_mapping(f).withColumns(
         {"bank_name": F.lit("Any Bank"), "currency_iso_code": F.lit("usd")}
     )
@@ -912,7 +912,7 @@ def mapping_audit(spark, sf_dir):
 
 @query
 def table_ranking(spark, sf_dir):
-    lines = C.lines_to_cells(C.chunks_to_lines(S.table_chunks(spark, sf_dir)))
+    lines = C.lines_to_cells(C.chunks_to_lines(materialize(S.table_chunks(spark, sf_dir))))
     ranked = inference.rank_table_candidates(C.detect_tables(lines))
     return ranked.select(
         "file_id", "candidate_id", "rank", "confidence", "date_header", "date_format",
@@ -924,7 +924,7 @@ def table_ranking(spark, sf_dir):
 @query
 def table_mapping_preview(spark, sf_dir):
     """Every rendered text table read under the mapping inferred for it."""
-    chunks = S.table_chunks(spark, sf_dir)
+    chunks = materialize(S.table_chunks(spark, sf_dir))
     lines = materialize(C.lines_to_cells(C.chunks_to_lines(chunks)))
     best = inference.rank_table_candidates(C.detect_tables(lines)).where("rank = 1")
     mappings = best.select(

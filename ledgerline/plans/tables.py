@@ -56,7 +56,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four incoming rows for every fourth transaction: altered, fuzzy, blocked, unrelated, equal."""
-    tx = transactions(spark, sf_dir).where("id % 4 = 0")
+    tx = by_key(transactions(spark, sf_dir).where("id % 4 = 0"), "id")
     copies = tx.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(3))))
     return copies.selectExpr(
         "owner_id",
