@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.llm.common import table
+from ledgerline.llm.mixing import MIX_SQL, poisson_mix
 from ledgerline.llm.near_dup import jaccard_join
+from ledgerline.llm.packing import pack
+from ledgerline.llm.perplexity import quality_rules
+from ledgerline.llm.quality import quality_scores
+from ledgerline.llm.token_counts import token_counts
+from ledgerline.llm.topk import TOP_K_SQL, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +30,36 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_top_k", TOP_K_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_scores")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op6_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op10_poisson_mix", MIX_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson_mix(table(spark, sf_dir, "documents"))
