@@ -59,9 +59,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word ``[^\\x20\\x09-\\x0D]+``, and the number of words before each row (one more at the end)."""
-    inside = ~_SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the number of words before each row (one more at the end).
+
+    Words are runs of bytes that are not in ``space``: ``[^\\x20\\x09-\\x0D]+``, if nothing else is given.
+    """
+    inside = ~space[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1])) | inside & first[:-1]) if len(data) else np.zeros(0, np.int64)

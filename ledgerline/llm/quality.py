@@ -30,6 +30,7 @@ BLOCKS = 3000
 ROWS = 6000
 DICT_BYTES = 64 << 10
 LEVEL = 3
+SIZES = ("_raw", "_good", "_bad")
 
 
 def dictionary(blocks: list[bytes], size: int = DICT_BYTES) -> bytes:
@@ -45,8 +46,10 @@ def _compressor(data: bytes) -> zstandard.ZstdCompressor:
 
 
 def sizes(docs: DataFrame, good: bytes, bad: bytes, *keep: str) -> DataFrame:
-    """``keep``, and the bytes of each text: as they are, and compressed after good and after bad text."""
-    schema = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    """The columns ``keep``, and the bytes of each text: as they are (``_raw``), and compressed after good (``_good``) and after bad text (``_bad``)."""
+    schema = docs.select(*keep).schema
+    for name in SIZES:
+        schema = schema.add(name, "long")
 
     def run(batches):
         tools = [_compressor(d) for d in (good, bad)]
@@ -60,13 +63,13 @@ def sizes(docs: DataFrame, good: bytes, bad: bytes, *keep: str) -> DataFrame:
                         block = text[start : start + BLOCK_BYTES].tobytes()
                         for k, tool in enumerate(tools):
                             out[at + i, k + 1] += len(tool.compress(block))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(out[:, k]) for k in range(3))], names=[*keep, "n_bytes", "good_bytes", "bad_bytes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(out[:, k]) for k in range(3))], names=[*keep, *SIZES])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema + "n_bytes long, good_bytes long, bad_bytes long")
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
 
 
 def _features() -> list[Column]:
-    n, good, bad = (F.col(c).cast("double") for c in ("n_bytes", "good_bytes", "bad_bytes"))
+    n, good, bad = (F.col(c).cast("double") for c in SIZES)
     plain = [(good - bad) / (good + bad), F.log(good / n), F.log(bad / n)]
     return [*plain, *(x * x for x in plain)]
 
@@ -111,21 +114,25 @@ def fit(labelled: DataFrame, blocks: int = BLOCKS, rows: int = ROWS) -> tuple[by
     return good, bad, F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
+def _score(docs: DataFrame, labels: DataFrame, folds: int, fold: int, blocks: int, rows: int) -> tuple[bytes, bytes, Column]:
+    known = labels.where("quality is not null").select(F.col("doc_id").alias("_id"), F.col("quality").alias("label"))
+    known = known.where(~held_out(F.col("_id"), folds, fold))
+    labelled = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    good, bad, score = fit(labelled, blocks, rows)
+    return good, bad, F.when(F.col("_raw") == 0, F.lit(0.0)).otherwise(score)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = HELD_OUT, cut: float = CUT, blocks: int = BLOCKS, rows: int = ROWS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs`` (``doc_id``, ``text``).
 
     ``labels`` (``doc_id``, ``quality``) is used only for rows that are not held out.
     """
-    known = labels.where("quality is not null").select(F.col("doc_id").alias("_id"), F.col("quality").alias("label"))
-    known = known.where(~held_out(F.col("_id"), folds, fold))
-    labelled = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
-    good, bad, score = fit(labelled, blocks, rows)
-    out = held_out(F.col("doc_id"), folds, fold).alias("held_out")
-    scored = sizes(docs.select("doc_id", "text"), good, bad, "doc_id").select("doc_id", out, F.when(F.col("n_bytes") == 0, F.lit(0.0)).otherwise(score).alias("score"))
+    good, bad, score = _score(docs, labels, folds, fold, blocks, rows)
+    scored = sizes(docs, good, bad, "doc_id").select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose text the classifier does not reject; rows of one id and different texts go by the best."""
-    kept = quality_scores(docs, labels, **options).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def good_documents(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = HELD_OUT, cut: float = CUT, blocks: int = BLOCKS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, as they are; no row is shuffled."""
+    good, bad, score = _score(docs, labels, folds, fold, blocks, rows)
+    return sizes(docs, good, bad, *docs.columns).where(score >= cut).select(*docs.columns)

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import table
+from ledgerline.llm.html_text import page_texts
 from ledgerline.llm.mixing import MIX_SQL, poisson_mix
 from ledgerline.llm.near_dup import jaccard_join
 from ledgerline.llm.packing import pack
 from ledgerline.llm.perplexity import quality_rules
+from ledgerline.llm.pii import personal_data
 from ledgerline.llm.quality import quality_scores
 from ledgerline.llm.token_counts import token_counts
 from ledgerline.llm.topk import TOP_K_SQL, top_k
+from ledgerline.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +66,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_poisson_mix", MIX_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(table(spark, sf_dir, "documents"))
+
+
+@query("op4_html_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op5_personal_data")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
