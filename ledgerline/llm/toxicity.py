@@ -1,7 +1,8 @@
 """Toxicity: a linear sentence classifier, trained so that swapping identity terms does not move its score.
 
 Sentences end at ``.!?`` or a line feed, or after 40 words. A sentence's logit is the sum of its words'
-weights; a word's weight comes from hashed features, the word and its first bytes. A document is toxic if
+weights; a word's weight comes from hashed features, the word and its first bytes, and a word that repeats the one before it
+counts once. A document is toxic if
 any sentence is: its score is ``1 - prod(1 - p)`` over sentences (noisy or), which is also how document
 labels train sentences. For every labelled sentence with an identity term, copies with the other terms of the
 same group are made, and the squared difference of the two logits is added to the loss: a group's mention
@@ -11,7 +12,7 @@ The fit uses a bounded sample: ``rows`` labelled documents a label, chosen by a
 Scoring covers every document and whole texts, and weighs each distinct word of a batch once.
 
 A null or empty text scores as a text without any evidence. Null labels are not used. Without labelled rows of
-both kinds every score is the share of toxic ones (0 if there are no labels). Repeated rows score alike.
+both kinds every score is next to that of the only kind (0 if there are no labels). Repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ from ledgerline.llm.common import U, held_out, slices, word_bounds, word_hashes
 
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.3
-ROWS = 2000
-MOST_CHARS = 20_000
+ROWS = 1500
+MOST_CHARS = 10_000
 BITS = 18
 PREFIXES = (3, 4, 5, 6, 8)
 SENTENCE_WORDS = 40
-STEPS = 80
+STEPS = 150
 PENALTY = 1.0
 
 #: Terms that may stand for each other, by group.
@@ -85,29 +86,34 @@ def _as_buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Prepared:
-    """Features of the words of texts, with the first word of each sentence and sentences before each text."""
+    """Words of texts: features of the distinct ones, which one each is, whether it counts; first word of each sentence, sentences before each text."""
 
-    words: np.ndarray
+    distinct: np.ndarray
+    which: np.ndarray
+    counts: np.ndarray
     first: np.ndarray
     before: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[str]) -> Prepared:
-        data, offsets = _as_buffer(texts)
+    def of(cls, data: np.ndarray, offsets: np.ndarray) -> Prepared:
         starts, ends, before = word_bounds(data, offsets, _APART)
         first, rows = sentences(data, offsets, starts, before)
-        return cls(features(data, starts, ends), first, rows)
+        _, once, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        counts = np.ones(len(which))
+        counts[1:] = which[1:] != which[:-1]  # a word that repeats the one before it says no more
+        counts[first] = 1
+        return cls(features(data, starts[once], ends[once]), which, counts, first, rows)
 
     def logits(self, weights: np.ndarray) -> np.ndarray:
         if not len(self.first):
             return np.zeros(0)
-        return np.add.reduceat(weights[self.words].sum(axis=1), self.first)
+        return np.add.reduceat(weights[self.distinct].sum(axis=1)[self.which] * self.counts, self.first)
 
     def spread(self, slope: np.ndarray) -> np.ndarray:
         """The gradient by weights from that by sentence logits."""
-        lengths = np.diff(np.append(self.first, len(self.words)))
-        each = np.repeat(np.repeat(slope, lengths), self.words.shape[1])
-        return np.bincount(self.words.ravel(), each, (1 << BITS) + 1)
+        words = np.repeat(slope, np.diff(np.append(self.first, len(self.which)))) * self.counts
+        words = np.bincount(self.which, words, len(self.distinct))
+        return np.bincount(self.distinct.ravel(), np.repeat(words, self.distinct.shape[1]), (1 << BITS) + 1)
 
 
 def swapped(text: str) -> list[tuple[str, str]]:
@@ -121,12 +127,12 @@ def swapped(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, penalty: float = PENALTY, ridge: float = 2e-4, rate: float = 0.08) -> tuple[np.ndarray, float]:
+def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, penalty: float = PENALTY, ridge: float = 1e-4, rate: float = 0.15) -> tuple[np.ndarray, float]:
     """Weights by feature and the constant, by Adam on the noisy-or loss, the swap penalty and a ridge."""
-    own = Prepared.of(texts)
+    own = Prepared.of(*_as_buffer(texts))
     pairs = [p for t in texts for p in swapped(t)][:50_000]
-    left, right = (Prepared.of([re.sub(r"[.!?\n]", " ", p[k]) for p in pairs]) for k in (0, 1))
-    weights, bias = np.zeros((1 << BITS) + 1), -4.0
+    left, right = (Prepared.of(*_as_buffer([p[k] for p in pairs])) for k in (0, 1))
+    weights, bias = np.zeros((1 << BITS) + 1), -9.0
     text = np.repeat(np.arange(len(texts)), np.diff(own.before))
     each = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
     m, v, mb, vb = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
@@ -136,10 +142,9 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, penalty: float
         pull = np.where(labels == 1, -clean / np.maximum(1 - clean, 1e-6), 1.0)
         slope = (each * pull)[text] * p
         change = own.spread(slope) + ridge * weights
-        if pairs:
-            gap = (2 * penalty / len(pairs)) * (left.logits(weights) - right.logits(weights)) if len(left.first) == len(right.first) else np.zeros(0)
-            if len(gap):
-                change += left.spread(gap) - right.spread(gap)
+        if pairs:  # a swap changes one word for another, so both sides have the same sentences
+            gap = 2 * penalty / len(pairs) * (left.logits(weights) - right.logits(weights))
+            change += left.spread(gap) - right.spread(gap)
         change[-1] = 0
         for name, g in (("w", change), ("b", slope.sum())):
             if name == "w":
@@ -152,19 +157,14 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, penalty: float
     return weights, float(bias)
 
 
-def row_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    starts, ends, before = word_bounds(data, offsets, _APART)
-    out = np.full(len(offsets) - 1, 1 / (1 + np.exp(-bias)))
-    if not len(starts):
-        return out
-    _, once, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    word = weights[features(data, starts[once], ends[once])].sum(axis=1)[which]
-    first, rows = sentences(data, offsets, starts, before)
-    logit = np.clip(np.add.reduceat(word, first) + bias, -30, 30)
-    total = np.concatenate(([0.0], np.cumsum(-np.log1p(np.exp(logit)))))
-    full = np.diff(rows) > 0
-    out[full] = -np.expm1(np.diff(total[rows]))[full]
-    return out
+def row_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: float, shift: float = 0.0) -> np.ndarray:
+    """The noisy or over each row's sentences; ``shift`` is added to its log odds. A row without words counts as one sentence without weight."""
+    own = Prepared.of(data, offsets)
+    clean = -np.log1p(np.exp(np.clip(own.logits(weights) + bias, -30, 30)))
+    total = np.concatenate(([0.0], np.cumsum(clean)))
+    log_clean = np.where(np.diff(own.before) > 0, np.diff(total[own.before]), -np.log1p(np.exp(bias)))
+    odds = np.log(np.maximum(-np.expm1(log_clean), 1e-300)) - log_clean + shift
+    return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = HELD_OUT, cut: float = CUT, rows: int = ROWS, most_chars: int = MOST_CHARS) -> DataFrame:
@@ -176,14 +176,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold
     known = known.where(~held_out(F.col("_id"), folds, fold))
     text = F.lower(F.coalesce("text", F.lit(""))).alias("text")
     labelled = docs.select("doc_id", text).join(known, F.col("doc_id") == F.col("_id")).where(F.length("text").between(1, most_chars))
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    toxic, clean = counts.get(1, 0), counts.get(0, 0)
     order = (F.xxhash64("doc_id", "text"), "doc_id")
     sample = [(r["text"], label) for label in (0, 1) for r in labelled.where(F.col("label") == label).orderBy(*order).limit(rows).select("text").collect()]
-    target = np.array([label for _, label in sample])
-    if len(set(target)) < 2:
-        share = float(target.mean()) if len(target) else 0.0
-        weights, bias = np.zeros((1 << BITS) + 1), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
+    if toxic and clean:
+        # the fit weighs both labels alike; scores go half the way to their true shares, as the ridge keeps them low already
+        weights, bias = fit([t for t, _ in sample], np.array([label for _, label in sample]))
+        shift = float(np.log(toxic / clean)) / 2
     else:
-        weights, bias = fit([t for t, _ in sample], target)
+        weights, bias, shift = np.zeros((1 << BITS) + 1), -0.6931471805599453 if toxic else -30.0, 30.0 if toxic else 0.0
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 1 MB, whatever the corpus
     key = docs.schema["doc_id"].dataType.simpleString()
 
@@ -191,7 +193,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             for at, to, data, offsets in slices(batch.column("text")):
-                scores[at:to] = row_scores(data, offsets, shared.value, bias)
+                scores[at:to] = row_scores(data, offsets, shared.value, bias, shift)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", text).mapInArrow(run, f"doc_id {key}, score double")
