@@ -15,7 +15,6 @@ often as they occur. Null ids are packed like others.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,58 +24,135 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import staged
+from ledgerline.llm.common import SPACE, slices, staged, word_bounds, word_hashes
 
 LENGTH = 1024
 END_ID = 0
-CACHE_WORDS = 400_000
+SLICE = 6 << 20
 BUCKET_ROWS = 1000
 MOST_BUCKETS = 4096
 
-# A word with the single space before it, or a run of white space: byte-level BPE never merges across these.
-_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_of() -> dict[str, int]:
+    """Byte-level vocabularies write a byte as a visible character: itself, if it is one, else one from 256 on, in order."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def _wide_space(data: np.ndarray) -> np.ndarray:
+    """Places of white space beyond ASCII."""
+    a, b, c = (np.append(data[k:], np.zeros(min(k, len(data)), np.uint8)) for k in range(3))
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    general = (a == 0xE2) & ((b == 0x80) & ((c >= 0x80) & (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+    return np.flatnonzero(two | general | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80))
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the chunks begin that cover a run of texts: byte-level BPE never merges across them.
+
+    A chunk is a word with the one space before it, or white space; of white space before a word
+    without such a space, the last character is a chunk of its own.
+    """
+    starts, _, _ = word_bounds(data, offsets)
+    white = SPACE[data]
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    follows = starts[(starts > 0) & ~first[starts]]  # words with something of their text before them
+    follows = follows[white[follows - 1]]
+    spaced = follows[data[follows - 1] == 32] - 1
+    alone = follows[data[follows - 1] != 32] - 1
+    begin = np.zeros(len(data), bool)
+    begin[starts] = True
+    begin[spaced + 1] = False
+    begin[1:] |= white[1:] & ~white[:-1]
+    begin |= white & first[:-1]
+    begin[spaced] = True
+    begin[alone] = True
+    return np.flatnonzero(begin)
+
+
 class Tokens:
-    """Packed ids (little-endian unsigned 32 bits) of texts; words met before are looked up.
+    """Ids of texts. Each distinct chunk of a run of texts is encoded once.
 
-    Texts that hold a special token's string go through the tokenizer whole.
+    The vocabulary's merges follow its ids, so many chunks are encoded at once by rank; which ids belong to
+    which is told by their lengths. A text with white space beyond ASCII, or with a special token's string,
+    is encoded by itself.
     """
 
     def __init__(self, path: str) -> None:
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        for word, encoding in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = self.packed(encoding.ids)
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        plain = [self.special is None or not self.special.search(t) for t in texts]
-        cut = [_CHUNK.findall(t) if p else [] for t, p in zip(texts, plain)]
-        words = set().union(*cut)
-        fresh = list(words.difference(self.known))
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known = {}
-            fresh = list(words)
-        self.learn(fresh)
-        for text, p, chunks in zip(texts, plain, cut):
-            yield b"".join(map(self.known.__getitem__, chunks)) if p else self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        byte = _byte_of()
+        ranks = {bytes(byte[c] for c in token): n for token, n in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.special}
+        self.ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, n in ranks.items():
+            self.sizes[n] = len(token)
+
+    def _chunks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, and where those of each begin and end."""
+        parts, begin, end, total = [], np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), 0
+        whole = data.tobytes()
+        blank = SPACE[data[ends - 1]]
+        spaced = ~blank & (data[starts] == 32)
+        for before, places in ((b"", np.flatnonzero(spaced)), (b"\n", np.flatnonzero(~blank & ~spaced))):  # a line feed keeps words apart; it is a token of its own
+            for at in range(0, len(places), 10_000):
+                part = places[at : at + 10_000]
+                text = before + before.join([whole[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist())])
+                ids = np.array(self.ranked.encode_ordinary(text.decode()), np.uint32)
+                cut = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(ends[part] - starts[part] + len(before))) + 1
+                begin[part] = total + np.concatenate(([0], cut[:-1])) + len(before)
+                end[part] = total + cut
+                parts.append(ids)
+                total += len(ids)
+        for k in np.flatnonzero(blank):
+            ids = np.array(self.ranked.encode_ordinary(whole[starts[k] : ends[k]].decode()), np.uint32)
+            begin[k], end[k] = total, total + len(ids)
+            parts.append(ids)
+            total += len(ids)
+        return np.concatenate([*parts, np.zeros(0, np.uint32)]), begin, end
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of each of a run of texts."""
+        odd = {int(r): False for r in np.unique(np.searchsorted(offsets, _wide_space(data), "right") - 1)}
+        whole = data.tobytes()
+        for token in self.special:
+            at = whole.find(token.encode())
+            while at >= 0:
+                odd[int(np.searchsorted(offsets, at, "right")) - 1] = True
+                at = whole.find(token.encode(), at + 1)
+        starts = chunk_starts(data, offsets)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        before = np.searchsorted(starts, offsets)
+        _, once, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        usable = np.ones(len(starts), bool)
+        for row in odd:
+            usable[before[row] : before[row + 1]] = False
+        met = np.zeros(len(once), bool)
+        met[which[usable]] = True
+        place = np.cumsum(met) - 1
+        ids, begin, end = self._chunks(data, starts[once[met]], ends[once[met]])
+        which = place[which]
+        sizes = np.where(usable, (end - begin)[which], 0) if len(begin) else np.zeros(len(starts), np.int64)
+        to = np.concatenate(([0], np.cumsum(sizes)))
+        source = np.repeat(begin[which] - to[:-1], sizes) + np.arange(to[-1]) if len(begin) else np.zeros(0, np.int64)
+        out, row_to = ids[source], to[before]
+        for row in range(len(offsets) - 1):
+            if row in odd:
+                text = whole[offsets[row] : offsets[row + 1]].decode()
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if odd[row] else self.ranked.encode_ordinary(text), np.uint32)
+            else:
+                yield out[row_to[row] : row_to[row + 1]]
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -87,21 +163,19 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     key = docs.schema["doc_id"].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
-    def rows(texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+    def run(batches):
         if tokenizer not in _TOKENS:
             _TOKENS[tokenizer] = Tokens(tokenizer)
-        for at, ids in enumerate(_TOKENS[tokenizer](texts)):
-            ids += end
-            for start in range(0, len(ids), 4 * length):
-                part = ids[start : start + 4 * length]
-                yield at, start // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4
-
-    def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                row, *columns = zip(*rows(part.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for at, to, data, offsets in slices(batch.column("text"), SLICE):
+                out: list[tuple[int, int, int, int, int]] = []
+                for row, found in enumerate(_TOKENS[tokenizer](data, offsets)):
+                    ids = found.astype("<u4").tobytes() + end
+                    for start in range(0, len(ids), 4 * length):
+                        part = ids[start : start + 4 * length]
+                        out.append((row, start // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
+                row, *columns = zip(*out)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at).take(pa.array(row)), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     text = F.coalesce("text", F.lit("")).alias("text")
     return docs.select("doc_id", text).mapInArrow(run, f"doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long")
