@@ -29,9 +29,16 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """The ``rows`` rows that come first in the order of a hash of the key: a bounded sample that no order of input changes."""
-    return df.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), F.col(key)).limit(rows)
+def labelled_sample(docs: DataFrame, known: DataFrame, rows: int) -> DataFrame:
+    """``doc_id, text, label`` of ``rows`` labelled documents a label, the first in the order of a hash of the id.
+
+    ``known`` has ``doc_id, label``. Ids are chosen before any text is read, so what is broadcast is bounded
+    by ``rows``, and no text is shuffled.
+    """
+    order = (F.xxhash64(F.lit("sample"), "doc_id"), "doc_id")
+    chosen = [known.where(F.col("label") == label).orderBy(*order).limit(rows) for label in (0, 1)]
+    ids = chosen[0].union(chosen[1]).select(F.col("doc_id").alias("_id"), "label")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
 
 
 # ---- text in numpy ----------------------------------------------------------------------------
@@ -55,11 +62,11 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = to
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the number of words before each row (one more at the end).
 
     Words are runs of bytes that are not in ``space``: ``[^\\x20\\x09-\\x0D]+``, if nothing else is given.

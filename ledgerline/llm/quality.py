@@ -4,8 +4,8 @@ Two zstandard dictionaries are built from labelled text, one of each label. A te
 both; the normalised difference of the two sizes, and the sizes a byte, go through a logistic function that
 is fitted on labelled documents kept apart from the dictionaries.
 
-The fit uses bounded samples: ``blocks`` blocks of text a label for the dictionaries and ``rows`` labelled
-documents for the calibration, both chosen by a hash. Scoring covers every document and whole texts.
+The fit uses bounded samples, chosen by a hash: ``blocks`` blocks of the texts of ``rows`` labelled documents a label for the
+dictionaries, and ``rows`` others a label for the calibration. Scoring covers every document and whole texts.
 
 A text that is null or empty scores 0. Without labelled rows of both kinds, every other text scores the
 share of good ones (0.5 if there are no labels). Labels that are null are not used; of a document with
@@ -20,14 +20,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import held_out, slices, staged
+from ledgerline.llm.common import held_out, labelled_sample, slices, staged
 
 FOLDS, HELD_OUT = 5, 0
 CUT = 0.3
 BLOCK_CHARS = 2000
 BLOCK_BYTES = 4096
 BLOCKS = 3000
-ROWS = 6000
+ROWS = 2500
 DICT_BYTES = 64 << 10
 LEVEL = 3
 SIZES = ("_raw", "_good", "_bad")
@@ -90,17 +90,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
     return w
 
 
-def fit(labelled: DataFrame, blocks: int = BLOCKS, rows: int = ROWS) -> tuple[bytes, bytes, Column]:
+def fit(docs: DataFrame, known: DataFrame, blocks: int = BLOCKS, rows: int = ROWS) -> tuple[bytes, bytes, Column]:
     """The good and the bad dictionary, and the score as a column over what ``sizes`` returns.
 
-    ``labelled`` has ``doc_id, text, label``.
+    ``known`` has ``doc_id, label``. Half of the ids serve the dictionaries, the others the calibration.
     """
-    usable = staged(labelled.where("label in (0, 1) and length(text) > 0").select("doc_id", "text", "label", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(2)).alias("part")))
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(2))
+    usable = staged(labelled_sample(docs, known.where(part == 0), rows).where("length(text) > 0"))
     last = F.floor((F.length("text") - 1) / BLOCK_CHARS).cast("int")
-    cut = usable.where("part = 0").select("label", "text", F.explode(F.sequence(F.lit(0), last)).alias("at")).select("label", F.expr(f"substring(text, at * {BLOCK_CHARS} + 1, {BLOCK_CHARS})").alias("block"))
+    cut = usable.select("label", "text", F.explode(F.sequence(F.lit(0), last)).alias("at")).select("label", F.expr(f"substring(text, at * {BLOCK_CHARS} + 1, {BLOCK_CHARS})").alias("block"))
     found = [[r["block"].encode() for r in cut.where(F.col("label") == label).orderBy(F.xxhash64("block"), "block").limit(blocks).select("block").collect()] for label in (1, 0)]
     good, bad = map(dictionary, found)
-    chosen = usable.where("part = 1").orderBy(F.xxhash64("doc_id", "label"), "doc_id", "label").limit(rows)
+    chosen = labelled_sample(docs, known.where(part == 1), rows).where("length(text) > 0")
     table = sizes(chosen, good, bad, "label").select("label", *(f.alias(f"x{i}") for i, f in enumerate(_features()))).collect()
     data = np.array([list(r) for r in table], float).reshape(len(table), 7)
     y, x = data[:, 0], data[:, 1:]
@@ -115,10 +116,8 @@ def fit(labelled: DataFrame, blocks: int = BLOCKS, rows: int = ROWS) -> tuple[by
 
 
 def _score(docs: DataFrame, labels: DataFrame, folds: int, fold: int, blocks: int, rows: int) -> tuple[bytes, bytes, Column]:
-    known = labels.where("quality is not null").select(F.col("doc_id").alias("_id"), F.col("quality").alias("label"))
-    known = known.where(~held_out(F.col("_id"), folds, fold))
-    labelled = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
-    good, bad, score = fit(labelled, blocks, rows)
+    known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("label")).where(~held_out(F.col("doc_id"), folds, fold))
+    good, bad, score = fit(docs, known, blocks, rows)
     return good, bad, F.when(F.col("_raw") == 0, F.lit(0.0)).otherwise(score)
 
 
