@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import U, held_out, slices, word_bounds, word_hashes
+from ledgerline.llm.common import U, held_out, labelled_sample, slices, word_bounds, word_hashes
 
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.3
@@ -127,7 +127,7 @@ def swapped(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, penalty: float = PENALTY, ridge: float = 1e-4, rate: float = 0.15) -> tuple[np.ndarray, float]:
+def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, penalty: float = PENALTY, ridge: float = 1e-4, rate: float = 0.15, least: int = 3) -> tuple[np.ndarray, float]:
     """Weights by feature and the constant, by Adam on the noisy-or loss, the swap penalty and a ridge."""
     own = Prepared.of(*_as_buffer(texts))
     pairs = [p for t in texts for p in swapped(t)][:50_000]
@@ -135,6 +135,11 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, penalty: float
     weights, bias = np.zeros((1 << BITS) + 1), -9.0
     text = np.repeat(np.arange(len(texts)), np.diff(own.before))
     each = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
+    # a feature has a weight only if enough toxic texts have it: what one text alone has would explain that text, and no other
+    word = np.repeat(np.arange(len(own.first)), np.diff(np.append(own.first, len(own.which))))
+    pairs_met = np.unique(text[word][labels[text[word]] == 1] * len(own.distinct) + own.which[labels[text[word]] == 1])
+    met = np.unique((pairs_met // max(1, len(own.distinct)))[:, None] * (len(weights) + 1) + own.distinct[pairs_met % max(1, len(own.distinct))])
+    shared = np.bincount(met % (len(weights) + 1), minlength=len(weights))[: len(weights)] >= least
     m, v, mb, vb = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(own.logits(weights) + bias, -30, 30)))
@@ -145,6 +150,7 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, penalty: float
         if pairs:  # a swap changes one word for another, so both sides have the same sentences
             gap = 2 * penalty / len(pairs) * (left.logits(weights) - right.logits(weights))
             change += left.spread(gap) - right.spread(gap)
+        change *= shared
         change[-1] = 0
         for name, g in (("w", change), ("b", slope.sum())):
             if name == "w":
@@ -172,18 +178,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold
 
     ``labels`` (``doc_id``, ``toxic``) is used only for rows that are not held out.
     """
-    known = labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label"))
-    known = known.where(~held_out(F.col("_id"), folds, fold))
-    text = F.lower(F.coalesce("text", F.lit(""))).alias("text")
-    labelled = docs.select("doc_id", text).join(known, F.col("doc_id") == F.col("_id")).where(F.length("text").between(1, most_chars))
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").alias("label")).where(~held_out(F.col("doc_id"), folds, fold))
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
-    order = (F.xxhash64("doc_id", "text"), "doc_id")
-    sample = [(r["text"], label) for label in (0, 1) for r in labelled.where(F.col("label") == label).orderBy(*order).limit(rows).select("text").collect()]
+    text = F.lower(F.coalesce("text", F.lit(""))).alias("text")
+    chosen = labelled_sample(docs, known, rows).select("doc_id", text, "label").where(F.length("text").between(1, most_chars))
+    sample = sorted((r["label"], r["doc_id"], r["text"]) for r in chosen.collect())
+    toxic, clean = (n if any(r[0] == label for r in sample) else 0 for label, n in ((1, toxic), (0, clean)))
     if toxic and clean:
-        # the fit weighs both labels alike; scores go half the way to their true shares, as the ridge keeps them low already
-        weights, bias = fit([t for t, _ in sample], np.array([label for _, label in sample]))
-        shift = float(np.log(toxic / clean)) / 2
+        # the fit weighs both labels alike; scores go a part of the way to their true shares, as the ridge keeps them low already
+        weights, bias = fit([r[2] for r in sample], np.array([r[0] for r in sample]))
+        shift = float(np.log(toxic / clean)) / 4
     else:
         weights, bias, shift = np.zeros((1 << BITS) + 1), -0.6931471805599453 if toxic else -30.0, 30.0 if toxic else 0.0
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 1 MB, whatever the corpus
