@@ -99,7 +99,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_POWERS.get(name, ())) < n:
+    if name not in _POWERS or len(_POWERS[name]) < n:
         steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
         _POWERS[name] = np.multiply.accumulate(steps)

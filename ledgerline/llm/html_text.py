@@ -199,7 +199,7 @@ def _children(element: Element, lines: _Lines, depth: int) -> None:
             _children(child, lines, depth + 1)
             lines.end()
             lines.prefix, lines.mark = before, ""
-        elif isinstance(child, Element) and element.name == "details" and "open" not in element.attributes and child.name != "summary":
+        elif element.name == "details" and "open" not in element.attributes and (isinstance(child, str) or child.name != "summary"):
             continue
         else:
             _node(child, lines, depth)

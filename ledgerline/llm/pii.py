@@ -34,9 +34,9 @@ WINDOW, STRIDE = 64, 32
 HIDDEN = 16
 DOCS = 600
 MOST_CHARS = 20_000
-WINDOWS = 2400
-EPOCHS = 10
-SURE = 0.97
+WINDOWS = 1600
+STEPS = 240
+SURE = 0.5
 LEAST_CHARS = 7
 
 # ---- fixed patterns ---------------------------------------------------------------------------
@@ -133,11 +133,12 @@ class Tagger:
     def _back(self, x: np.ndarray, d: str, kept: list, slope: np.ndarray, grads: dict) -> None:
         dh, dc = np.zeros((len(x), self.hidden)), np.zeros((len(x), self.hidden))
         table, matrix, bias = (np.zeros_like(self.p[n + d]) for n in "xhc")
+        every = np.arange(SYMBOLS)
         for at, i, f, o, g, tc, old_h, old_c in reversed(kept):
             dh = dh + slope[:, at]
             dc = dc + dh * o * (1 - tc * tc)
             dz = np.concatenate((dc * g * i * (1 - i), dc * old_c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)), axis=1)
-            np.add.at(table, x[:, at], dz)
+            table += (x[:, at] == every[:, None]) @ dz
             matrix += old_h.T @ dz
             bias += dz.sum(axis=0)
             dh, dc = dz @ self.p["h" + d].T, dc * f
@@ -179,7 +180,9 @@ class Tagger:
         self._back(x, "b", kb, back[:, :, self.hidden :], grads)
         return grads
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 96, rate: float = 0.02, seed: int = 3) -> Tagger:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = 96, rate: float = 0.02, seed: int = 3) -> Tagger:
+        """Adam over about ``steps`` batches, however few windows there are."""
+        epochs = -(-steps * batch // max(1, len(x)))
         draw, m, v, step = np.random.default_rng(seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
         for epoch in range(epochs):
             order = draw.permutation(len(x))
@@ -336,12 +339,12 @@ def training_windows(texts: list[str], most: int = WINDOWS, seed: int = 1) -> tu
     return x[order], y[order]
 
 
-def fit(docs: DataFrame, rows: int = DOCS, most_chars: int = MOST_CHARS, epochs: int = EPOCHS) -> Tagger | None:
+def fit(docs: DataFrame, rows: int = DOCS, most_chars: int = MOST_CHARS, steps: int = STEPS) -> Tagger | None:
     """A tagger trained on a bounded sample of texts; none if no text of the sample has a span."""
     chosen = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= most_chars))
     texts = [r["text"] for r in chosen.orderBy(F.xxhash64("text"), "text").limit(rows).collect()]
     x, y = training_windows(texts)
-    return Tagger().fit(x, y, epochs) if y.any() else None
+    return Tagger().fit(x, y, steps) if y.any() else None
 
 
 # ---- documents --------------------------------------------------------------------------------
