@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,19 +40,22 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"\A" + WHITESPACE + r"+|" + WHITESPACE + r"+\z", "")
 
 
+@F.pandas_udf("string")
+def _nfkd(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFKD")
+
+
 def decompose(c: Column) -> Column:
-    """Unicode compatibility decomposition (NFKD) inside the JVM, skipped for ASCII text."""
-    nfkd = F.call_function(
-        "reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), c, F.lit(True)
-    )
-    return F.when(c.rlike(r"[^\x00-\x7F]"), nfkd).otherwise(c)
+    """Unicode compatibility decomposition (NFKD). Only text that is not ASCII goes to Python, in Arrow batches."""
+    other = c.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _nfkd(F.when(other, c))).otherwise(c)
 
 
 def normalize_description(c: Column) -> Column:
     """Upper-case letters and digits of the decomposed text: ``Café #42`` -> ``CAFE42``.
 
-    The result is not usable inside a join condition (the decomposition is a reflective call);
-    compute it in a projection first.
+    The result is not usable inside a join condition (the decomposition runs in Python); compute it
+    in a projection first.
     """
     return F.regexp_replace(F.upper(decompose(c)), r"[^\p{L}\p{Nd}]+", "")
 

@@ -11,19 +11,22 @@ from pyspark.sql import functions as F
 from ..functions.values import canonical_amount
 from ..session import materialize
 
-ID_BUCKETS = 512
+BUCKETS_PER_TASK = 16
 
 
 def assign_ids(
-    rows: DataFrame, identity: Sequence[str], start: int | Column = 0, buckets: int = ID_BUCKETS
+    rows: DataFrame, identity: Sequence[str], start: int | Column = 0, buckets: int | None = None
 ) -> DataFrame:
     """Rows with a dense, unique ``id`` above ``start``.
 
     ``identity`` names columns that are unique per row. Rows are numbered inside hash buckets of
     that identity, and a bucket starts where the counts of the buckets before it end; so numbering
     runs on all tasks, has no hot bucket, and a repeated task numbers its rows the same way. Only
-    the ``buckets`` counts are summed up in one place.
+    the ``buckets`` counts are summed up in one place: sixteen for each shuffle task, if none is given.
     """
+    if buckets is None:
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = BUCKETS_PER_TASK * tasks
     keyed = rows.withColumn("_b", F.pmod(F.xxhash64(*identity), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -36,8 +36,12 @@ def sort_columns(sort: Sort) -> list[Column]:
     return keys
 
 
-def page_size(size: int | None) -> int:
-    return min(DEFAULT_PAGE_SIZE if size is None else size, MAX_PAGE_SIZE)
+def page_size(size: int | None, most: int = MAX_PAGE_SIZE) -> int:
+    """The size asked for, or the default; a size above ``most`` is an error, never cut."""
+    wanted = DEFAULT_PAGE_SIZE if size is None else size
+    if not 1 <= wanted <= most:
+        raise ValueError(f"page size must be from 1 to {most}")
+    return wanted
 
 
 def search_page(
@@ -46,15 +50,16 @@ def search_page(
     page: int = 0,
     size: int | None = None,
     sort: Sort = DEFAULT_SORT,
+    most: int = MAX_PAGE_SIZE,
 ) -> tuple[DataFrame, DataFrame]:
     """One page of matching active rows, and a one-row frame of page metadata.
 
     The page is a top-k (each task keeps ``offset + size`` rows), not a full sort. For deep paging
     use ``search_after``.
     """
-    if page < 0 or page_size(size) < 1:
-        raise ValueError("page must be >= 0 and size >= 1")
-    size = page_size(size)
+    if page < 0:
+        raise ValueError("page must be >= 0")
+    size = page_size(size, most)
     hits = criteria_filter(active(tx), c)
     rows = public_columns(hits).orderBy(*sort_columns(sort)).offset(page * size).limit(size)
     return rows, page_metadata(hits, page, size)
@@ -82,6 +87,7 @@ def search_after(
     last_date=None,
     last_id: int | None = None,
     size: int | None = None,
+    most: int = MAX_PAGE_SIZE,
 ) -> DataFrame:
     """The rows that follow (last_date, last_id) in the default order.
 
@@ -95,7 +101,7 @@ def search_after(
             (F.col("date") <= day)
             & ((F.col("date") < day) | (F.col("id") < F.lit(last_id)))
         )
-    return hits.orderBy(*sort_columns(DEFAULT_SORT)).limit(page_size(size))
+    return hits.orderBy(*sort_columns(DEFAULT_SORT)).limit(page_size(size, most))
 
 
 def count_matching(tx: DataFrame, c: Criteria | None, owner: str | None = None) -> DataFrame:

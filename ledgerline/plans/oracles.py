@@ -5,6 +5,8 @@ Statement queries are compared with the rows that the statements were rendered f
 
 from __future__ import annotations
 
+from ..operators.quality import ISO_CURRENCIES
+
 ORACLES: dict[str, str] = {}
 
 TX = """
@@ -32,7 +34,7 @@ INCOMING = """
       WHEN 2 THEN replace(description, 'REF ', 'REF 9')
       WHEN 3 THEN concat('unrelated merchant ', cast(copy AS varchar))
       ELSE description END AS description
-  FROM tx CROSS JOIN (VALUES (0), (1), (2), (3)) c(copy) WHERE id % 4 = 0"""
+  FROM tx CROSS JOIN (VALUES (0), (1), (2), (3)) c(copy) WHERE copy - id % 3 IN (0, 1)"""
 
 BASE = f"WITH tx AS ({TX}), act AS (SELECT * FROM tx WHERE NOT deleted)"
 TS = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
@@ -255,9 +257,9 @@ ORACLES["batch_import"] = f"""{ACCEPT}, bad AS (
     CASE WHEN owner_id IN (FROM bad) OR created = 0 THEN 0 ELSE 1 END AS files
   FROM sums"""
 
-ORACLES["assigned_ids"] = """SELECT count(*) * 4 AS n, count(*) * 4 AS ids, 1001 AS low,
-    1000 + count(*) * 4 AS high
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 = 0"""
+ORACLES["assigned_ids"] = """SELECT count(*) * 2 AS n, count(*) * 2 AS ids, 1001 AS low,
+    1000 + count(*) * 2 AS high
+  FROM orders JOIN customer ON o_custkey = c_custkey"""
 
 LEDGER = """
   SELECT c_custkey + 1 AS id, c_custkey AS f, concat(c_name, '.csv') AS original_filename,
@@ -324,8 +326,8 @@ ORACLES["view_counts"] = f"""{VIEWS}, e AS ((FROM m EXCEPT FROM x) UNION FROM p)
 # Each event's effect on the two sets, the last effect on a set wins; stored sets come first.
 EVENTS = f"""{BASE}, v AS (SELECT s_suppkey AS s, concat('view-', cast(s_suppkey AS varchar)) AS view_id,
     concat('usr_', cast(s_suppkey % 20 AS varchar)) AS owner FROM supplier),
-  ev AS (SELECT concat('view-', cast(user_id % 10 AS varchar)) AS view_id,
-      (event_id * 7) % 300 AS transaction_id, CASE event_type WHEN 'view' THEN 'exclude'
+  ev AS (SELECT concat('view-', cast(event_id // 60 AS varchar)) AS view_id,
+      event_id // 60 * 90 + event_id % 15 AS transaction_id, CASE event_type WHEN 'view' THEN 'exclude'
         WHEN 'purchase' THEN 'unpin' WHEN 'signup' THEN 'unexclude' ELSE 'pin' END AS action,
       event_id AS seq FROM events),
   judged AS (SELECT ev.*, CASE WHEN action IN ('unpin', 'unexclude') OR act.id IS NOT NULL
@@ -357,13 +359,13 @@ ORACLES["stored_id_sets"] = """SELECT concat('view-', cast(s_suppkey AS varchar)
 ORACLES["view_list"] = """SELECT concat('view-', cast(s_suppkey AS varchar)) AS id, s_name AS name
   FROM supplier WHERE s_suppkey % 20 = 3"""
 
-ORACLES["id_resolution"] = f"""{BASE}, q AS (SELECT event_id, (event_id * 11) % 20000 AS transaction_id,
+ORACLES["id_resolution"] = f"""{BASE}, q AS (SELECT event_id, event_id * 3 // 2 AS transaction_id,
     concat('usr_', cast(user_id % 20 AS varchar)) AS owner FROM events)
   SELECT transaction_id, owner AS owner_id, event_id, id IS NOT NULL AS found
   FROM q LEFT JOIN act ON id = transaction_id AND owner_id = owner"""
 
 DELETES = f"""{BASE}, q AS (SELECT user_id AS request_id, event_id AS pos,
-    (event_id % 5000) * 3 AS transaction_id,
+    event_id // 2 * 3 AS transaction_id,
     concat('usr_', cast(user_id % 20 AS varchar)) AS actor, event_type = 'error' AS a FROM events),
   ok AS (SELECT q.*, row_number() OVER (PARTITION BY transaction_id ORDER BY request_id, pos) AS rn
     FROM q JOIN act ON id = transaction_id AND (a OR owner_id = actor))"""
@@ -376,7 +378,7 @@ ORACLES["bulk_delete_outcome"] = f"""{DELETES} SELECT q.request_id, count(ok.pos
   FROM q LEFT JOIN ok ON q.request_id = ok.request_id AND q.pos = ok.pos AND rn = 1
   GROUP BY q.request_id"""
 
-PATCHES = f"""{BASE}, q AS (SELECT event_id AS seq, (event_id % 4000) * 3 AS transaction_id,
+PATCHES = f"""{BASE}, q AS (SELECT event_id AS seq, event_id // 3 * 4 AS transaction_id,
     concat('usr_', cast(user_id % 20 AS varchar)) AS actor,
     event_type IN ('error', 'signup') AS a,
     CASE WHEN event_type <> 'purchase' THEN concat('patched ', cast(event_id AS varchar)) END AS d,
@@ -434,14 +436,14 @@ ORACLES["format_list"] = f"""WITH f AS ({FORMATS})
   SELECT id, display_name FROM f WHERE scope = 'SYSTEM' OR owner_id = 'usr_3'"""
 
 ORACLES["format_selection"] = f"""WITH f AS ({FORMATS}), q AS (SELECT event_id,
-    concat('usr_', cast(user_id % 20 AS varchar)) AS user_id, event_id % 150 AS statement_format_id
+    concat('usr_', cast(user_id % 20 AS varchar)) AS user_id, event_id // 90 AS statement_format_id
     FROM events)
   SELECT statement_format_id, event_id, user_id,
     coalesce(enabled AND (scope = 'SYSTEM' OR owner_id = user_id), false) AS usable
   FROM q LEFT JOIN f ON id = statement_format_id"""
 
 ORACLES["format_patch"] = f"""WITH f AS ({FORMATS}), q AS (SELECT event_id AS seq,
-    event_id % 150 AS fid, concat('usr_', cast(user_id % 20 AS varchar)) AS u,
+    event_id // 90 AS fid, concat('usr_', cast(user_id % 20 AS varchar)) AS u,
     event_type = 'error' AS a,
     CASE WHEN event_id % 4 = 0 THEN concat('Name ', cast(event_id AS varchar))
       WHEN event_id % 31 = 0 THEN ' ' END AS dn,
@@ -527,7 +529,10 @@ ORACLES["config_audit"] = """WITH c AS (SELECT c_custkey AS id, c_custkey % 2 =
   UNION ALL SELECT id, 'yearSource', 'Year source is required.' FROM c WHERE id % 11 = 0)
   SELECT * FROM r"""
 
-ORACLES["currency_codes"] = """SELECT c_custkey, c_custkey % 6 NOT IN (3, 5) AS known FROM customer"""
+# The codes stand in one place only, as three lists of fixed values.
+ORACLES["currency_codes"] = f"""WITH c AS (SELECT o_orderkey, concat(chr(cast(97 + o_orderkey // 676 % 26 AS int)),
+    chr(cast(97 + o_orderkey // 26 % 26 AS int)), chr(cast(97 + o_orderkey % 26 AS int))) AS code FROM orders)
+  SELECT o_orderkey, code, upper(code) IN ({", ".join(f"'{c}'" for c in ISO_CURRENCIES)}) AS known FROM c"""
 
 ORACLES["revision_selection"] = """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n,
     min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
@@ -674,7 +679,8 @@ ORACLES["table_detection"] = """WITH f AS (SELECT o_orderkey // 20 AS n, count(*
     c AS row_count, CASE WHEN n % 2 = 0 THEN 0 ELSE 1 END AS repeated_headers FROM f"""
 
 ORACLES["text_sufficiency"] = """SELECT cast(conv_id AS varchar) AS file_id,
-    sum(length(role) + 5)::bigint AS characters, sum(length(role) + 5) >= 20 AS sufficient
+    sum(length(regexp_replace(text, '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g')))::bigint AS characters,
+    sum(length(regexp_replace(text, '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g'))) >= 20 AS sufficient
   FROM conversations GROUP BY conv_id"""
 
 ORACLES["header_scores"] = """WITH h AS (SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'Posting Date'
@@ -720,7 +726,7 @@ ORACLES["table_date_format"] = """WITH o AS (SELECT o_orderkey AS id, o_orderkey
   FROM o"""
 
 ORACLES["csv_mapping"] = f"""WITH r AS ({csv_rows(3653)}),
-  f AS (SELECT n, bool_and(day(d) <= 12) FILTER (row_pos <= 11) AS month_first FROM r GROUP BY n)
+  f AS (SELECT n, bool_and(day(d) <= 12) AS month_first FROM r GROUP BY n)
   SELECT concat('csv-', cast(n AS varchar)) AS file_id, CASE n % 3
       WHEN 0 THEN 'Date|Particulars|Withdrawal|Deposit'
       WHEN 1 THEN 'Transaction Date|Transaction Description|Transaction Amount|Transaction Type|Category'
@@ -738,16 +744,10 @@ ORACLES["csv_mapping"] = f"""WITH r AS ({csv_rows(3653)}),
     CASE WHEN n % 3 = 1 THEN 'SINGLE_AMOUNT_WITH_TYPE' ELSE 'DEBIT_CREDIT_COLUMNS' END AS amount_mode,
     CASE WHEN n % 3 = 1 THEN 0.9::double ELSE 0.95::double END AS confidence, '' AS warnings FROM f"""
 
-ORACLES["mapping_preview"] = f"""WITH r AS ({csv_rows(3653)}),
-  f AS (SELECT n, bool_and(day(d) <= 12) FILTER (row_pos <= 11) AS month_first, count(*) AS c,
-    bool_and(day(d) <= 12) AS readable, round(sum(cast(amount AS decimal(38,2))), 2) AS total
-    FROM r GROUP BY n)
-  SELECT concat('csv-', cast(n AS varchar)) AS file_id,
-    CASE WHEN bad THEN 'FAILED' ELSE 'MATCHED' END AS status,
-    CASE WHEN bad THEN 'mapping.dateColumn' END AS field,
-    CASE WHEN bad THEN 0 ELSE c END AS rows,
-    CASE WHEN bad THEN 0 ELSE cast(total AS double) END AS total
-  FROM (SELECT *, n % 3 = 0 AND month_first AND NOT readable AS bad FROM f)"""
+ORACLES["mapping_preview"] = f"""WITH r AS ({csv_rows(3653)})
+  SELECT concat('csv-', cast(n AS varchar)) AS file_id, 'MATCHED' AS status, NULL::varchar AS field,
+    count(*) AS rows, cast(sum(cast(amount AS decimal(38,2))) AS double) AS total
+  FROM r GROUP BY n"""
 
 ORACLES["mapping_audit"] = """WITH f AS (SELECT DISTINCT o_orderkey // 50 AS n FROM orders),
   r(k, field, message) AS (VALUES (4, 'bankName', 'Bank name is required.'),
@@ -756,18 +756,18 @@ ORACLES["mapping_audit"] = """WITH f AS (SELECT DISTINCT o_orderkey // 50 AS n F
     (7, 'mapping.dateFormat', 'Date format is not supported by the CSV wizard.'))
   SELECT concat('csv-', cast(n AS varchar)) AS file_id, field, message FROM f JOIN r ON n % k = 0"""
 
-ORACLES["table_ranking"] = """WITH f0 AS (SELECT o_orderkey // 20 AS n, count(*) AS c,
-    min(o_orderkey) AS lo FROM orders GROUP BY 1),
-  x AS (SELECT o_orderkey // 20 AS n, bool_or(o_orderkey % 7 = 0) FILTER (o_orderkey % 20 < 5) AS neg,
-    arg_min(10 + o_orderkey % 30, o_orderkey) AS dom FROM orders GROUP BY 1),
-  f AS (SELECT f0.*, neg, make_date(cast(2005 + f0.n % 15 AS int), cast(1 + f0.n % 12 AS int), 10)
-      + cast(lo % 30 AS int) AS d FROM f0 JOIN x ON f0.n = x.n)
+ORACLES["table_ranking"] = """WITH f0 AS (SELECT o_orderkey // 20 AS n, count(*) AS c
+    FROM orders GROUP BY 1),
+  x AS (SELECT o_orderkey // 20 AS n, bool_or(o_orderkey % 7 = 0) AS neg,
+    bool_or(day(make_date(cast(2005 + o_orderkey // 20 % 15 AS int), cast(1 + o_orderkey // 20 % 12 AS int), 10)
+      + cast(o_orderkey % 30 AS int)) > 12) AS day_first FROM orders GROUP BY 1),
+  f AS (SELECT f0.*, neg, day_first FROM f0 JOIN x ON f0.n = x.n)
   SELECT concat('tab-', cast(n AS varchar)) AS file_id,
     concat('p1-l', CASE WHEN n % 2 = 0 THEN '2' ELSE '1' END, '-',
       cast(CASE WHEN n % 2 = 0 THEN 3 + c ELSE 2 + c END AS varchar)) AS candidate_id, 1 AS rank,
     CASE WHEN n % 2 = 0 THEN 0.99::double ELSE 0.97::double END AS confidence,
     CASE WHEN n % 2 = 0 THEN 'Transaction Date' ELSE 'Date' END AS date_header,
-    CASE WHEN n % 2 = 0 THEN 'MMM d' WHEN day(d) > 12 THEN 'dd/MM/uuuu' ELSE 'MM/dd/uuuu' END
+    CASE WHEN n % 2 = 0 THEN 'MMM d' WHEN day_first THEN 'dd/MM/uuuu' ELSE 'MM/dd/uuuu' END
       AS date_format,
     CASE WHEN n % 2 = 0 THEN 'Description' ELSE 'Memo' END AS description_header,
     CASE WHEN n % 2 = 0 THEN 'SIGNED_AMOUNT' ELSE 'DEBIT_CREDIT_COLUMNS' END AS amount_mode,
@@ -779,13 +779,58 @@ ORACLES["table_ranking"] = """WITH f0 AS (SELECT o_orderkey // 20 AS n, count(*)
       ELSE '' END AS rejection_reasons
   FROM f"""
 
-ORACLES["table_mapping_preview"] = f"""WITH r AS ({statement_rows(20)}), f AS (
-    SELECT n, count(*) AS c, day(arg_min(d, k)) <= 12 AS month_first,
-      arg_min(d, k) FILTER (day(d) > 12) AS bad FROM r GROUP BY n),
-  g AS (SELECT *, n % 2 = 1 AND month_first AND bad IS NOT NULL AS failed FROM f)
-  SELECT concat('tab-', cast(n AS varchar)) AS file_id,
-    CASE WHEN failed THEN 'FAILED' ELSE 'MATCHED' END AS status,
-    CASE WHEN failed THEN 0 ELSE c END AS row_count,
-    CASE WHEN failed THEN 'mapping.dateHeader' END AS field,
-    CASE WHEN failed THEN concat('Invalid PDF text-table date value: ', strftime(bad, '%d/%m/%Y')) END
-      AS message FROM g"""
+ORACLES["table_mapping_preview"] = """SELECT concat('tab-', cast(o_orderkey // 20 AS varchar)) AS file_id,
+    'MATCHED' AS status, count(*) AS row_count, NULL::varchar AS field, NULL::varchar AS message
+  FROM orders GROUP BY o_orderkey // 20"""
+
+ORACLES["id_equals"] = f"{BASE} SELECT {PUBLIC} FROM act WHERE id = 700"
+
+ORACLES["not_found_ids"] = f"""{DELETES} SELECT q.request_id,
+    row_number() OVER (PARTITION BY q.request_id ORDER BY q.pos) AS place, q.transaction_id
+  FROM q LEFT JOIN ok ON q.request_id = ok.request_id AND q.pos = ok.pos AND rn = 1
+  WHERE ok.pos IS NULL"""
+
+ORACLES["patch_errors"] = """SELECT doc_id AS seq,
+    CASE WHEN length(text) > 500 THEN 'description' ELSE 'account_id' END AS field
+  FROM documents WHERE length(text) > 500 OR length(source) * (1 + doc_id % 40) > 100"""
+
+ORACLES["transaction_sink"] = f"""{BASE} SELECT id, year(date) AS year, owner_id,
+    cast(amount AS double) AS amount, description FROM tx"""
+
+ORACLES["imported_files"] = """SELECT s_suppkey AS supplier, strlen(s_name) + 1 AS length,
+    NULL::varchar AS error, s_suppkey % 6 = 0 AS already_imported,
+    CASE WHEN s_suppkey % 6 = 0 THEN s_suppkey + 500 END AS previous_import_id,
+    CASE WHEN s_suppkey % 6 = 0 THEN concat(s_name, '.csv') END AS previous_filename,
+    CASE WHEN s_suppkey % 6 = 0 THEN 'FILE_ALREADY_IMPORTED' END AS warning_code
+  FROM supplier"""
+
+ORACLES["stored_view_edits"] = f"""WITH e AS ({ORACLES["pin_fold"]}),
+  g AS (SELECT view_id, string_agg(cast(transaction_id AS varchar), ',' ORDER BY transaction_id)
+      FILTER (pinned) AS p, string_agg(cast(transaction_id AS varchar), ',' ORDER BY transaction_id)
+      FILTER (excluded) AS x FROM e GROUP BY view_id)
+  SELECT concat('view-', cast(s_suppkey AS varchar)) AS id, concat('[', coalesce(p, ''), ']') AS pinned_ids,
+    concat('[', coalesce(x, ''), ']') AS excluded_ids
+  FROM supplier LEFT JOIN g ON view_id = concat('view-', cast(s_suppkey AS varchar))"""
+
+ORACLES["table_analysis"] = """SELECT concat('tab-', cast(o_orderkey // 20 AS varchar)) AS file_id,
+    CASE WHEN o_orderkey // 20 % 2 = 0 THEN 0.99::double ELSE 0.97::double END AS confidence,
+    NULL::varchar AS rejection_reason FROM orders GROUP BY o_orderkey // 20
+  UNION ALL SELECT concat('none-', cast(c_custkey AS varchar)), 0::double,
+    'PDF does not contain enough extractable text. Scanned or OCR-dependent PDFs are not supported.'
+  FROM customer"""
+
+ORACLES["file_preview"] = """WITH o AS (SELECT o_orderkey AS k,
+    cast(round(o_totalprice, 2) AS decimal(38,2)) AS amount FROM orders),
+  sheets AS (SELECT k // 50 AS n, count(*) AS c, count(*) FILTER (k % 5 = 0) AS twice, sum(amount) AS total
+    FROM o GROUP BY 1),
+  cards AS (SELECT k // 30 AS n, count(*) AS c, sum(amount) AS total FROM o GROUP BY 1),
+  s AS (SELECT *, n % 3 = 0 OR (n % 3 = 1 AND n % 2 = 0) AS usable FROM sheets)
+  SELECT concat('csv-', cast(n AS varchar)) AS file_id,
+    CASE WHEN usable THEN 'MATCHED' ELSE 'STATEMENT_FORMAT_NOT_FOUND' END AS status,
+    CASE WHEN NOT usable THEN -1 WHEN n % 3 = 0 THEN 11 ELSE 21 END AS parser_revision_id,
+    CASE WHEN NOT usable THEN 0 WHEN n % 3 = 0 THEN 2 ELSE 1 END AS attempts,
+    CASE WHEN usable THEN c ELSE 0 END AS rows,
+    CASE WHEN n % 3 = 0 THEN twice ELSE 0 END AS duplicates,
+    CASE WHEN usable THEN cast(total AS double) END AS total, n % 3 = 0 AS already_imported FROM s
+  UNION ALL SELECT concat('card-', cast(n AS varchar)), 'MATCHED', 41, 3, c, 0, cast(total AS double), false
+  FROM cards"""

@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +15,9 @@ from ..functions import values as V
 from ..operators import changes, dedup, formats, inference, quality, search, views
 from ..operators.criteria import Criteria, active, criteria_filter, id_set, scope_to_actor
 from ..operators.importing import import_batch
-from ..session import materialize
+from ..session import materialize, new_step_folder
 from ..sources import chunks as C
-from ..sources import csv_statements, files, line_layouts, revisions, text_tables, two_column
+from ..sources import csv_statements, files, line_layouts, preview, revisions, text_tables, two_column
 from . import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,12 @@ def query(fn: Query) -> Query:
 # -- criteria search ---------------------------------------------------------------------------
 
 
+@query
+def id_equals(spark, sf_dir):
+    hits = criteria_filter(active(S.transactions(spark, sf_dir)), Criteria(id=700))
+    return search.public_columns(hits)
+
+
 @query
 def criteria_search(spark, sf_dir):
     c = Criteria(
@@ -441,13 +447,21 @@ def view_list(spark, sf_dir):
     return views.list_views(S.saved_views(spark, sf_dir), "usr_3").select("id", "name")
 
 
+@query
+def stored_view_edits(spark, sf_dir):
+    """Views with their id sets as stored text after all events."""
+    saved, tx = S.saved_views(spark, sf_dir), S.transactions(spark, sf_dir)
+    edits, _ = views.fold_view_events(saved, S.view_events(spark, sf_dir), tx)
+    return views.store_view_edits(saved, edits).select("id", "pinned_ids", "excluded_ids")
+
+
 # -- change sets -------------------------------------------------------------------------------
 
 
 @query
 def id_resolution(spark, sf_dir):
     events = S.table(spark, sf_dir, "events").selectExpr(
-        "event_id", "(event_id * 11) % 20000 AS transaction_id",
+        "event_id", "event_id * 3 div 2 AS transaction_id",
         "concat('usr_', user_id % 20) AS owner_id",
     )
     return views.resolve_ids(events, S.transactions(spark, sf_dir), "owner_id", "transaction_id")
@@ -481,6 +495,59 @@ def patch_outcome(spark, sf_dir):
     return outcome
 
 
+@query
+def not_found_ids(spark, sf_dir):
+    """Ids that a delete request did not find, numbered in request order, repeats kept."""
+    _, outcome = changes.soft_delete(
+        S.transactions(spark, sf_dir), S.delete_requests(spark, sf_dir), S.NOW
+    )
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy("pos"))
+    lost = outcome.where("outcome = 'NOT_FOUND'")
+    return lost.select("request_id", place.alias("place"), "transaction_id")
+
+
+@query
+def patch_errors(spark, sf_dir):
+    """Documents taken as descriptions, their sources repeated as account ids."""
+    patches = S.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS seq", "text AS description",
+        "repeat(source, cast(1 + doc_id % 40 AS int)) AS account_id",
+    )
+    return changes.patch_errors(patches)
+
+
+@query
+def transaction_sink(spark, sf_dir):
+    """Every transaction written by year, then read back."""
+    path = new_step_folder(spark)
+    changes.append_transactions(S.transactions(spark, sf_dir), path)
+    return spark.read.parquet(path).select("id", "year", "owner_id", "amount", "description")
+
+
+@query
+def imported_files(spark, sf_dir):
+    """One small file for each supplier, read back with its earlier import, if any."""
+    path = new_step_folder(spark)
+    names = S.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS n", "s_name AS line")
+    names.repartition("n").write.partitionBy("n").text(path)
+    found = files.read_statement_files(spark, path).where("filename like 'part-%'").withColumns(
+        {
+            "supplier": F.regexp_extract("path", "/n=([0-9]+)/", 1).cast("bigint"),
+            "imported_by": F.lit("usr_1"),
+        }
+    )
+    ledger = S.table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").selectExpr(
+        "sha2(concat(s_name, '\n'), 256) AS content_hash",
+        "if(s_suppkey % 2 = 0, 'usr_1', 'usr_2') AS imported_by", "s_suppkey + 500 AS id",
+        "concat(s_name, '.csv') AS original_filename", "current_timestamp() AS imported_at",
+        "1 AS statement_format_id", "'a' AS account_id", "7 AS transaction_count",
+    )
+    return files.with_import_status(found, ledger).select(
+        "supplier", "length", "error", "already_imported", "previous_import_id", "previous_filename",
+        "warning_code",
+    )
+
+
 @query
 def backfill_owner(spark, sf_dir):
     old = S.table(spark, sf_dir, "orders").selectExpr(
@@ -536,7 +603,7 @@ def format_list(spark, sf_dir):
 def format_selection(spark, sf_dir):
     asked = S.table(spark, sf_dir, "events").selectExpr(
         "event_id", "concat('usr_', user_id % 20) AS user_id",
-        "event_id % 150 AS statement_format_id",
+        "event_id div 90 AS statement_format_id",
     )
     return formats.resolve_formats(asked, S.statement_formats(spark, sf_dir))
 
@@ -544,7 +611,7 @@ def format_selection(spark, sf_dir):
 @query
 def format_patch(spark, sf_dir):
     p = S.table(spark, sf_dir, "events").selectExpr(
-        "event_id AS seq", "event_id % 150 AS statement_format_id",
+        "event_id AS seq", "event_id div 90 AS statement_format_id",
         "concat('usr_', user_id % 20) AS user_id", "event_type = 'error' AS can_write_any",
         "CASE WHEN event_id % 4 = 0 THEN concat('Name ', event_id) WHEN event_id % 31 = 0 THEN ' ' END"
         " AS display_name",
@@ -660,10 +727,12 @@ def config_audit(spark, sf_dir):
 
 @query
 def currency_codes(spark, sf_dir):
-    codes = S.table(spark, sf_dir, "customer").selectExpr(
-        "c_custkey", "lower(substring('USDTHBEURXYZGBPQQQ', cast(c_custkey % 6 * 3 + 1 AS int), 3)) AS code"
+    """Every code of three letters, as far as the order keys go round."""
+    letter = lambda place: f"char(97 + o_orderkey div {place} % 26)"
+    codes = S.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", f"concat({letter(676)}, {letter(26)}, {letter(1)}) AS code"
     )
-    return codes.select("c_custkey", quality.known_currency(F.col("code")).alias("known"))
+    return codes.select("o_orderkey", "code", quality.known_currency(F.col("code")).alias("known"))
 
 
 # -- statements --------------------------------------------------------------------------------
@@ -687,6 +756,54 @@ def csv_statement_roundtrip(spark, sf_dir):
     return chosen.withColumn("amount", F.col("amount").cast("decimal(38,2)")).drop("parser_revision_id")
 
 
+@query
+def file_preview(spark, sf_dir):
+    """CSV and card statements of all users previewed in one job, against stored transactions."""
+    sheets = S.csv_files(spark, sf_dir, 3653)
+    lines = materialize(S.card_monthly_lines(spark, sf_dir))
+    number = F.regexp_extract("file_id", "([0-9]+)", 1).cast("bigint")
+    cards = lines.select("file_id", "filename").distinct().select(
+        "file_id", "filename", F.lit(None).cast("binary").alias("content"),
+        F.lit(4).cast("bigint").alias("statement_format_id"),
+        F.concat(F.lit("acct-"), number).alias("account_id"),
+    )
+    uploads = sheets.unionByName(cards).withColumns(
+        {
+            "user_id": F.concat(F.lit("usr_"), (number % 2 + 1).cast("string")),
+            "content_hash": F.sha2(F.col("file_id").cast("binary"), 256),
+        }
+    )
+    stored = S.table(spark, sf_dir, "orders").where("o_orderkey div 50 % 3 = 0 and o_orderkey % 5 = 0").selectExpr(
+        "o_orderkey AS id", "concat('usr_', o_orderkey div 50 % 2 + 1) AS owner_id", "'Siam Bank' AS bank_name",
+        "date_add(cast(o_orderdate AS date), 3653) AS date", "'THB' AS currency_iso_code",
+        "cast(round(o_totalprice, 2) AS decimal(38,2)) AS amount",
+        "if(o_orderstatus = 'F', 'DEBIT', 'CREDIT') AS type",
+        "concat('ORDER-', o_orderkey, ' ', o_orderpriority) AS description", "false AS deleted",
+    )
+    ledger = S.table(spark, sf_dir, "orders").selectExpr("o_orderkey div 150 * 3 AS n").distinct().selectExpr(
+        "sha2(cast(concat('csv-', n) AS binary), 256) AS content_hash",
+        "concat('usr_', n % 2 + 1) AS imported_by", "n AS id", "'old.csv' AS original_filename",
+        "current_timestamp() AS imported_at", "1 AS statement_format_id", "'a' AS account_id",
+        "7 AS transaction_count",
+    )
+    none = spark.createDataFrame(
+        [], "file_id string, page int, start_x float, end_x float, y float, text string"
+    )
+    found = preview.preview_files(
+        uploads, lines, none, *S.preview_catalogue(spark), stored, ledger, S.LATER
+    )
+    counted = found.rows.groupBy("file_id").agg(
+        F.count("*").alias("rows"), F.count_if("duplicate").alias("duplicates"),
+        F.sum("amount").cast("decimal(38,2)").alias("total"),
+    )
+    zero = F.lit(0).cast("bigint")
+    return found.files.join(counted, "file_id", "left").select(
+        "file_id", "status", F.coalesce("parser_revision_id", F.lit(-1)).alias("parser_revision_id"),
+        F.coalesce("attempt_count", zero).alias("attempts"), F.coalesce("rows", zero).alias("rows"),
+        F.coalesce("duplicates", zero).alias("duplicates"), "total", "already_imported",
+    )
+
+
 @query
 def csv_file_status(spark, sf_dir):
     catalogue = S.csv_catalogue(spark)
@@ -810,11 +927,11 @@ def table_detection(spark, sf_dir):
 
 @query
 def text_sufficiency(spark, sf_dir):
-    """Extracted characters per text, one chunk per document."""
+    """Extracted characters per conversation, one chunk per turn."""
     chunks = S.table(spark, sf_dir, "conversations").selectExpr(
         "cast(conv_id AS string) AS file_id", "1 AS page", "cast(0 AS float) AS start_x",
         "cast(10 AS float) AS end_x", "cast(turn * 10 AS float) AS y",
-        "concat('role-', role) AS text",
+        "text",
     )
     return C.character_counts(C.lines_to_cells(C.chunks_to_lines(chunks)))
 
@@ -921,6 +1038,15 @@ def table_ranking(spark, sf_dir):
     )
 
 
+@query
+def table_analysis(spark, sf_dir):
+    lines = materialize(C.lines_to_cells(C.chunks_to_lines(materialize(S.table_chunks(spark, sf_dir)))))
+    ranked = inference.rank_table_candidates(C.detect_tables(lines))
+    extracted = S.table(spark, sf_dir, "customer").selectExpr("concat('none-', c_custkey) AS file_id")
+    every = lines.select("file_id").distinct().unionByName(extracted)
+    return inference.table_analysis(ranked, every, C.character_counts(lines))
+
+
 @query
 def table_mapping_preview(spark, sf_dir):
     """Every rendered text table read under the mapping inferred for it."""

@@ -55,9 +55,9 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four incoming rows for every fourth transaction: altered, fuzzy, blocked, unrelated, equal."""
-    tx = by_key(transactions(spark, sf_dir).where("id % 4 = 0"), "id")
-    copies = tx.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    """Two incoming rows for every transaction: altered, fuzzy, blocked, unrelated, equal."""
+    tx = by_key(transactions(spark, sf_dir), "id")
+    copies = tx.withColumn("copy", F.explode(F.expr("sequence(cast(id % 3 AS int), cast(id % 3 AS int) + 1)")))
     return copies.selectExpr(
         "owner_id",
         "concat('batch-', owner_id) AS batch_id",
@@ -148,8 +148,8 @@ def saved_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def view_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
-        "concat('view-', user_id % 10) AS view_id",
-        "(event_id * 7) % 300 AS transaction_id",
+        "concat('view-', event_id div 60) AS view_id",
+        "event_id div 60 * 90 + event_id % 15 AS transaction_id",
         """CASE event_type WHEN 'click' THEN 'pin' WHEN 'view' THEN 'exclude'
            WHEN 'purchase' THEN 'unpin' WHEN 'signup' THEN 'unexclude' ELSE 'pin' END AS action""",
         "event_id AS seq",
@@ -160,7 +160,7 @@ def delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "user_id AS request_id",
         "event_id AS pos",
-        "(event_id % 5000) * 3 AS transaction_id",
+        "event_id div 2 * 3 AS transaction_id",
         "concat('usr_', user_id % 20) AS actor",
         "event_type = 'error' AS can_act_on_any",
     )
@@ -169,7 +169,7 @@ def delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "event_id AS seq",
-        "(event_id % 4000) * 3 AS transaction_id",
+        "event_id div 3 * 4 AS transaction_id",
         "concat('usr_', user_id % 20) AS actor",
         "event_type IN ('error', 'signup') AS can_act_on_any",
         "CASE WHEN event_type <> 'purchase' THEN concat('patched ', event_id) END AS description",
@@ -310,6 +310,30 @@ def csv_files(spark: SparkSession, sf_dir: str, shift_days: int) -> DataFrame:
     )
 
 
+def preview_catalogue(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Formats for the preview: for all, for one user, and disabled; with served and unserved revisions."""
+    formats, revisions = csv_catalogue(spark)
+    scoped = formats.withColumns(
+        {
+            "scope": F.when(F.col("id") == 2, "USER").otherwise("SYSTEM"),
+            "owner_id": F.when(F.col("id") == 2, "usr_1"),
+            "enabled": F.col("id") != 3,
+        }
+    )
+    cards = spark.createDataFrame(
+        [(4, "PDF", "Capital One", "USD", True, "SYSTEM", None)], scoped.schema
+    )
+    static = spark.createDataFrame(
+        [
+            (41, 4, 1, "STATIC_HANDLER", "capital-one-credit-monthly-statement", None, 0, True),
+            (42, 4, 2, "STATIC_HANDLER", "no-such-handler", None, 5, True),
+            (43, 4, 3, "STATIC_HANDLER", "capital-one-bank-monthly-statement", None, 9, True),
+        ],
+        revisions.schema,
+    )
+    return scoped.unionByName(cards), revisions.unionByName(static)
+
+
 LINES_PER_FILE = 30
 
 

@@ -35,40 +35,36 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that ``DataFrame.checkpoint`` writes to.
+    """The folder for intermediate tables, the one that ``DataFrame.checkpoint`` writes to.
 
-    On a cluster this is the shared folder named by ``spark.checkpoint.dir``. A machine-local folder
-    is made up only for a ``local`` master, where driver and executors share one disk.
+    It is the shared folder that ``spark.checkpoint.dir`` names, on every master. Only where that is
+    unset, as in tests, one is made up.
     """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        if configured:
-            context.setCheckpointDir(configured)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-checkpoint-"))
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can read")
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="ledgerline-checkpoint-"))
     return context.getCheckpointDir()
 
 
+def new_step_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{ensure_checkpoint_dir(spark)}/step-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a step's result to the checkpoint folder as a table and go on from there.
 
     Later steps that use the result several times read it instead of computing it again, the plan
-    stays small, the planner knows the true size, and the loss of executors costs nothing.
+    stays small, the planner knows the true size, and the loss of executors costs nothing. Results
+    built on a step read it when they run, so steps go with the folder of the session.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/step-{uuid.uuid4().hex}"
+    path = new_step_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def by_key(df: DataFrame, *columns: str) -> DataFrame:
-    """Rows shuffled by key into ``spark.sql.shuffle.partitions`` tasks.
-
-    Parsing costs far more time than its bytes suggest, so its partitions must not be merged by size;
-    a repartition by number is left alone by adaptive execution.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *columns)
+    """Rows shuffled by key; adaptive execution chooses the number of tasks."""
+    return df.repartition(*columns)

@@ -8,27 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank, trim_ascii
 from ..operators.changes import prior_imports
 
-# Fixed value: the largest statement file that is accepted.
-MAX_FILE_BYTES = 25 * 1024 * 1024
-
 
 def read_statement_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, filename, length, content and ``error`` of every file below a folder.
+    """path, filename, length, content and ``error`` of every file below a folder, whatever its size.
 
-    The bytes of a file above the limit are not read: its length alone makes the error row. Spark's
-    file sources list no files of length zero; ``check_files`` marks them in tables that have them.
+    Spark's file sources list no files of length zero; ``check_files`` marks them in tables that have
+    them.
     """
     every = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     )
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    small = every.where(F.col("length") <= MAX_FILE_BYTES).select(
-        "path", name.alias("filename"), "length", "content"
-    )
-    large = every.where(F.col("length") > MAX_FILE_BYTES).select(
-        "path", name.alias("filename"), "length", F.lit(None).cast("binary").alias("content")
-    )
-    return check_files(small.unionByName(large))
+    return check_files(every.select("path", name.alias("filename"), "length", "content"))
 
 
 def check_files(files: DataFrame) -> DataFrame:
@@ -36,8 +27,7 @@ def check_files(files: DataFrame) -> DataFrame:
     return files.withColumn("filename", trim_ascii(F.col("filename"))).withColumn(
         "error",
         F.when(is_blank(F.col("filename")), "MISSING_ORIGINAL_FILENAME")
-        .when(F.col("length") == 0, "CSV_PARSING_ERROR")
-        .when(F.col("length") > MAX_FILE_BYTES, "FILE_TOO_LARGE"),
+        .when(F.col("length") == 0, "CSV_PARSING_ERROR"),
     )
 
 

@@ -93,7 +93,9 @@ def test_pages(spark):
     assert [r.id for r in rows.collect()] == [2, 4, 6]
     after = search.search_after(tx, None, dt.date(2024, 1, 4), 4, size=2)
     assert [r.id for r in after.collect()] == [2, 1]
-    assert search.page_size(1000) == 100
+    assert search.page_size(1000, most=1000) == 1000
+    with pytest.raises(ValueError, match="page size"):
+        search.page_size(1000)
     with pytest.raises(ValueError, match="Unsupported sort field"):
         search.search_page(tx, None, sort=[("deleted", "asc")])
 
