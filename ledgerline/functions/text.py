@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What counts as white space (no-break spaces do not). Listed one by one, because the
 # regular-expression engine tests single characters by a bit set and composed classes one by one.
@@ -40,7 +41,7 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"\A" + WHITESPACE + r"+|" + WHITESPACE + r"+\z", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKD")
 
