@@ -341,8 +341,11 @@ def training_windows(texts: list[str], most: int = WINDOWS, seed: int = 1) -> tu
 
 def fit(docs: DataFrame, rows: int = DOCS, most_chars: int = MOST_CHARS, steps: int = STEPS) -> Tagger | None:
     """A tagger trained on a bounded sample of texts; none if no text of the sample has a span."""
-    chosen = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= most_chars))
-    texts = [r["text"] for r in chosen.orderBy(F.xxhash64("text"), "text").limit(rows).collect()]
+    usable = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= most_chars)).withColumn("hash", F.xxhash64("text"))
+    # hashes are chosen before texts are sent, so no task sends more than its share of the sample
+    first = usable.select("hash").distinct().orderBy("hash").limit(rows)
+    chosen = usable.join(F.broadcast(first), "hash").groupBy("hash").agg(F.min("text").alias("text"))
+    texts = [r["text"] for r in sorted(chosen.collect())]
     x, y = training_windows(texts)
     return Tagger().fit(x, y, steps) if y.any() else None
 
