@@ -15,6 +15,7 @@ often as they occur. Null ids are packed like others.
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from ledgerline.llm.common import SPACE, slices, staged, word_bounds, word_hashe
 
 LENGTH = 1024
 END_ID = 0
-SLICE = 6 << 20
+SLICE = 1 << 20
 BUCKET_ROWS = 1000
 MOST_BUCKETS = 4096
 
@@ -88,17 +89,26 @@ class Tokens:
     def __init__(self, path: str) -> None:
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        with open(path, encoding="utf-8") as file:
+            stored = json.load(file)
+        self.path, self.tokenizer = path, None
+        self.special = {t["content"] for t in stored["added_tokens"]}
         byte = _byte_of()
-        ranks = {bytes(byte[c] for c in token): n for token, n in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.special}
+        ranks = {bytes(byte[c] for c in token): n for token, n in stored["model"]["vocab"].items() if token not in self.special}
         self.ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, n in ranks.items():
             self.sizes[n] = len(token)
 
+    def _whole(self, text: str) -> list[int]:
+        """A text with a special token's string, by the tokenizer itself; it is loaded for the first such text."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _chunks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct chunks, and where those of each begin and end."""
         parts, begin, end, total = [], np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), 0
@@ -150,7 +160,7 @@ class Tokens:
         for row in range(len(offsets) - 1):
             if row in odd:
                 text = whole[offsets[row] : offsets[row + 1]].decode()
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if odd[row] else self.ranked.encode_ordinary(text), np.uint32)
+                yield np.array(self._whole(text) if odd[row] else self.ranked.encode_ordinary(text), np.uint32)
             else:
                 yield out[row_to[row] : row_to[row + 1]]
 
