@@ -1,15 +1,16 @@
 """Personal data: fixed patterns, and a character BiLSTM with CRF transitions that adds what they miss.
 
 The tagger is trained here, in numpy, from labelled spans: those of the patterns in a bounded sample of documents
-(``DOCS`` of those with a digit or an at sign, chosen by a hash), and variants of them that the patterns
+(``DOCS`` of those with a digit, an at sign or ``(at)``, chosen by a hash), and variants of them that the patterns
 do not read: cards grouped by full stops, phone numbers without a plus, spelled-out at signs. Numbers in the sample that are
 not personal data are its counter-examples.
 
-A document is read in overlapping windows. Any span of these kinds holds a digit or an at sign, so only windows
-with one are decoded; that leaves nothing out. A window's Viterbi spans that end at its edge are left to its
+A document is read in overlapping windows. Any span of these kinds holds a digit, an at sign or a spelled-out ``(at)``,
+so only windows with one are decoded. A window's Viterbi spans that end at its edge are left to its
 neighbour. Spans of all windows of a document are then reconciled at once: the set without overlaps that has the
 largest total confidence (weighted interval scheduling). Spans of the patterns always stay; the model adds a
-span only where it is sure, and never over a match that a pattern's check has refused.
+span only where it is sure, and not where the check of its own kind has refused the same characters: a number that fails
+Luhn is no card, however it is grouped, but may be a phone number.
 
 A null text is empty and has no spans. Rows come back one for one, repeated or not; null ids are kept.
 """
@@ -38,6 +39,8 @@ WINDOWS = 1600
 STEPS = 240
 SURE = 0.5
 LEAST_CHARS = 7
+#: What every span holds, and what a text or window is read for.
+MARK = re.compile(r"[0-9@]|\(at\)", re.I)
 
 # ---- fixed patterns ---------------------------------------------------------------------------
 
@@ -63,8 +66,8 @@ def _valid(kind: str, match: str) -> bool:
     return kind == "email" or 8 <= len(digits) <= 15
 
 
-def pattern_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
-    """Spans of each kind in the order of ``KINDS``, and where a check refused a long enough match."""
+def checked_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Spans of each kind in the order of ``KINDS``, and those of long enough matches that the check of their kind refused."""
     found, refused = [], []
     for kind, needs in zip(KINDS, ("@", ".", "", "+")):
         if needs in text:
@@ -72,10 +75,16 @@ def pattern_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int
                 if _valid(kind, m.group()):
                     found.append((kind, *m.span()))
                 elif m.end() - m.start() >= LEAST_CHARS:
-                    refused.append(m.span())
+                    refused.append((kind, *m.span()))
     return found, refused
 
 
+def pattern_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
+    """As ``checked_spans``, the refused ones without their kinds."""
+    found, refused = checked_spans(text)
+    return found, [s[1:] for s in refused]
+
+
 # ---- the tagger -------------------------------------------------------------------------------
 
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
@@ -214,9 +223,12 @@ class Tagger:
 
 
 def window_starts(x: np.ndarray) -> np.ndarray:
-    """Starts of the windows, a stride apart, that hold a digit or an at sign."""
+    """Starts of the windows, a stride apart, that hold a digit, an at sign or any part of a spelled-out one."""
     starts = np.arange(0, max(1, len(x) - WINDOW + STRIDE), STRIDE)
-    marks = np.concatenate(([0], np.cumsum((x == 16) | (x == 32))))
+    marked = (x == 16) | (x == 32)
+    spelled = np.flatnonzero((x[:-3] == 8) & np.isin(x[1:-2], (33, 65)) & np.isin(x[2:-1], (52, 84)) & (x[3:] == 9))
+    marked[spelled[:, None] + np.arange(4)[None, :]] = True
+    marks = np.concatenate(([0], np.cumsum(marked)))
     return starts[marks[np.minimum(starts + WINDOW, len(x))] > marks[np.minimum(starts, len(x))]]
 
 
@@ -263,7 +275,16 @@ def reconciled(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int,
     return out[::-1]
 
 
-def added_spans(tagger: Tagger, texts: list[str], known: list[list[tuple[str, int, int]]], refused: list[list[tuple[int, int]]], sure: float = SURE) -> list[list[tuple[str, int, int]]]:
+def _vetoed(text: str, span: tuple[str, int, int], refused: list[tuple[str, int, int]]) -> bool:
+    """Whether the check of the span's own kind refused it: as a match of the same digits there, or as a card that fails Luhn."""
+    kind, start, end = span
+    digits = re.sub(r"[^0-9]", "", text[start:end])
+    if kind == "card" and 16 <= len(digits) <= 19:
+        return not luhn(digits)
+    return any(k == kind and s < end and e > start and re.sub(r"[^0-9]", "", text[s:e]) == digits for k, s, e in refused)
+
+
+def added_spans(tagger: Tagger, texts: list[str], known: list[list[tuple[str, int, int]]], refused: list[list[tuple[str, int, int]]], sure: float = SURE) -> list[list[tuple[str, int, int]]]:
     """What the tagger adds to the ``known`` spans of each text."""
     own = [symbols(t) for t in texts]
     starts = [window_starts(x) for x in own]
@@ -278,9 +299,8 @@ def added_spans(tagger: Tagger, texts: list[str], known: list[list[tuple[str, in
             found[i] += window_spans(path[k], p[k], int(start[at + k]), len(texts[i]))
     out = []
     for text, spans, base, no in zip(texts, found, known, refused):
-        apart = [s[1:3] for s in base] + no
-        keep = [s for s in reconciled(spans_ok(spans, sure)) if s[2] - s[1] >= LEAST_CHARS and re.search("[0-9@]", text[s[1] : s[2]]) and all(s[2] <= a or s[1] >= b for a, b in apart)]
-        out.append(keep)
+        usable = [s for s in spans_ok(spans, sure) if s[2] - s[1] >= LEAST_CHARS and MARK.search(text, s[1], s[2]) and all(s[2] <= a or s[1] >= b for _, a, b in base)]
+        out.append(reconciled([s for s in usable if not _vetoed(text, s[:3], no)]))
     return out
 
 
@@ -341,7 +361,7 @@ def training_windows(texts: list[str], most: int = WINDOWS, seed: int = 1) -> tu
 
 def fit(docs: DataFrame, rows: int = DOCS, most_chars: int = MOST_CHARS, steps: int = STEPS) -> Tagger | None:
     """A tagger trained on a bounded sample of texts; none if no text of the sample has a span."""
-    usable = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= most_chars)).withColumn("hash", F.xxhash64("text"))
+    usable = docs.select("text").where(F.col("text").rlike(f"(?i){MARK.pattern}") & (F.length("text") <= most_chars)).withColumn("hash", F.xxhash64("text"))
     # hashes are chosen before texts are sent, so no task sends more than its share of the sample
     first = usable.select("hash").distinct().orderBy("hash").limit(rows)
     chosen = usable.join(F.broadcast(first), "hash").groupBy("hash").agg(F.min("text").alias("text"))
@@ -357,10 +377,13 @@ def _tagged(column: pa.Array, tagger: Tagger | None) -> Iterator[tuple[int, str,
     """Row, text, pattern spans and added spans of the rows that can have any."""
     marked = np.zeros(256, bool)
     marked[[*range(48, 58), 64]] = True
+    small = np.arange(256) | 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90))
     for at, _, data, offsets in slices(column):
-        rows = np.unique(np.searchsorted(offsets, np.flatnonzero(marked[data]), "right") - 1)
+        opens = np.flatnonzero(data[:-3] == 40)
+        spelled = opens[(small[data[opens + 1]] == 97) & (small[data[opens + 2]] == 116) & (data[opens + 3] == 41)]
+        rows = np.unique(np.searchsorted(offsets, np.concatenate((np.flatnonzero(marked[data]), spelled)), "right") - 1)
         texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in rows]
-        base, refused = zip(*map(pattern_spans, texts)) if texts else ((), ())
+        base, refused = zip(*map(checked_spans, texts)) if texts else ((), ())
         more = added_spans(tagger, texts, list(base), list(refused)) if tagger and texts else [[] for _ in texts]
         for i, text, b, m in zip(rows, texts, base, more):
             yield at + int(i), text, b, m

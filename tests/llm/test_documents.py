@@ -373,6 +373,46 @@ def test_personal_data(documents, odd, none, tagger):
     assert pii.redacted(none).count() == 0
 
 
+def trained_texts():
+    """Sentences with a card, a phone number or an address of up to six names."""
+    draw = random.Random(5)
+    words = "the quiet river ran past an old stone house and every winter people would write about it to their friends".split()
+    names = "anna carol joe maria peter smith king miles firstname lastname department office example mail support".split()
+    def value():
+        kind = draw.randrange(4)
+        if kind == 0:
+            return draw.choice(["4111 1111 1111 1111", "5500 0000 0000 0004", "6011-0000-0000-0004"])
+        if kind == 1:
+            return f"+1 ({draw.randrange(200, 999)}) 555-{draw.randrange(10**4):04}"
+        parts = [".".join(draw.choice(names) for _ in range(draw.randrange(1, 4))) for _ in "ab"]
+        return f"{parts[0]}@{parts[1]}.{draw.choice(['org', 'com', 'net'])}"
+    return [" ".join([*draw.choices(words, k=draw.randrange(4, 14)), value(), *draw.choices(words, k=draw.randrange(4, 14))]) for _ in range(500)]
+
+
+@pytest.fixture(scope="module")
+def trained():
+    return pii.Tagger().fit(*pii.training_windows(trained_texts()))
+
+
+FILLER = "the quiet river ran past the old stone house and "
+
+
+def added_and_clean(spark, tagger, values):
+    docs = spark.createDataFrame([(i, FILLER + v + " was written there") for i, v in enumerate(values)], "doc_id long, text string")
+    rows, clean = by_id(pii.personal_data(docs, tagger)), by_id(pii.redacted(docs, tagger))
+    return [(rows[i]["n_added"], rows[i]["spans"], clean[i]["text"]) for i in range(len(values))]
+
+
+def test_trained_variants_reach_the_result(spark, trained):
+    found = ["4111.1111.1111.1111", "(658) 555-4270", "anna.smith(at)example.org", "carol.king(AT)example.com", "anna.smith @ example.org"]
+    kinds = ["card", "phone", "email", "email", "email"]
+    for value, kind, (n, spans, clean) in zip(found, kinds, added_and_clean(spark, trained, found)):
+        assert (n, spans) == (1, f"{kind}:{len(FILLER)}:{len(FILLER) + len(value)}")
+        assert clean == f"{FILLER}[{kind.upper()}] was written there"
+    for _, spans, _ in added_and_clean(spark, trained, ["4111-1111-1111-1112", "4111.1111.1111.1112"]):
+        assert "card" not in spans
+
+
 # ---- mixing -------------------------------------------------------------------------------------
 
 
