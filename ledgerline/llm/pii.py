@@ -7,7 +7,8 @@ not personal data are its counter-examples.
 
 A document is read in overlapping windows. Any span of these kinds holds a digit, an at sign or a spelled-out ``(at)``,
 so only windows with one are decoded. A window's Viterbi spans that end at its edge are left to its
-neighbour. Spans of all windows of a document are then reconciled at once: the set without overlaps that has the
+neighbour; those that no window has whole are read again as one sequence, in wide windows whose overlap holds the longest address
+there can be (64 characters, an at sign, 255 characters). Spans of all windows of a document are then reconciled at once: the set without overlaps that has the
 largest total confidence (weighted interval scheduling). Spans of the patterns always stay; the model adds a
 span only where it is sure, and not where the check of its own kind has refused the same characters: a number that fails
 Luhn is no card, however it is grouped, but may be a phone number.
@@ -22,6 +23,7 @@ import random
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ from ledgerline.llm.common import slices
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
+WIDE = 768
 HIDDEN = 16
 DOCS = 600
 MOST_CHARS = 20_000
@@ -232,27 +235,34 @@ def window_starts(x: np.ndarray) -> np.ndarray:
     return starts[marks[np.minimum(starts + WINDOW, len(x))] > marks[np.minimum(starts, len(x))]]
 
 
-def _windows(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.concatenate((x, np.zeros(WINDOW, np.int64)))[starts[:, None] + np.arange(WINDOW)[None, :]]
+def _windows(x: np.ndarray, starts: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    return np.concatenate((x, np.zeros(width, np.int64)))[starts[:, None] + np.arange(width)[None, :]]
 
 
-def window_spans(path: np.ndarray, sure: np.ndarray, start: int, length: int) -> Iterator[tuple[str, int, int, float]]:
-    """Spans of one window with their least probability of a tag; not those cut by an edge inside the text."""
-    at = 0
-    while at < WINDOW:
+def window_parts(path: np.ndarray, sure: np.ndarray, start: int, length: int) -> Iterator[tuple[str, int, int, float, bool]]:
+    """Spans of one window with their least probability of a tag, and whether they are whole: not cut by an edge inside the text."""
+    at, width = 0, len(path)
+    while at < width:
         tag = path[at]
-        if tag == 0 or tag % 2 == 0:
+        if tag == 0 or tag % 2 == 0 and (at or start == 0):
             at += 1
             continue
+        kind, inside = (tag - 1) // 2, 2 * ((tag - 1) // 2) + 2
         end = at + 1
-        while end < WINDOW and path[end] == tag + 1:
+        while end < width and path[end] == inside:
             end += 1
         stop = min(start + end, length)
-        if (at > 0 or start == 0) and (end < WINDOW or stop == length) and stop > start + at:
-            yield KINDS[(tag - 1) // 2], start + at, stop, float(sure[at:end].min())
+        if stop > start + at:
+            yield KINDS[kind], start + at, stop, float(sure[at:end].min()), (at > 0 or start == 0) and (end < width or stop == length)
         at = end
 
 
+def wide_starts(cut: list[tuple[int, int]], length: int) -> list[int]:
+    """Starts of the wide windows, half their width apart, that hold a part of any of the cut spans."""
+    step, last = WIDE // 2, max(0, -(-(length - WIDE) // (WIDE // 2)))
+    return sorted({step * k for start, end in cut for k in range(max(0, -(-(start + 1 - WIDE) // step)), min(last, (end - 1) // step) + 1)})
+
+
 def reconciled(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int]]:
     """Of spans from all windows the set without overlaps whose confidences, by characters, add up to most."""
     best: dict[tuple[int, int], tuple[str, int, int, float]] = {}
@@ -296,7 +306,20 @@ def added_spans(tagger: Tagger, texts: list[str], known: list[list[tuple[str, in
         path, p = tagger.tags(x[at : at + 1024])
         for k in np.flatnonzero(path.any(axis=1)):
             i = which[at + k]
-            found[i] += window_spans(path[k], p[k], int(start[at + k]), len(texts[i]))
+            found[i] += window_parts(path[k], p[k], int(start[at + k]), len(texts[i]))
+    again = []
+    for i, (parts, base) in enumerate(zip(found, known)):
+        whole = sorted(s[1:3] for s in [*(s for s in parts if s[4]), *base])
+        reach = [0, *accumulate((b for _, b in whole), max)]  # the furthest end of the whole spans up to each
+        cut = [s[1:3] for s in parts if not s[4] and reach[bisect_right(whole, (s[1], len(texts[i])))] < s[2]]
+        found[i] = [s[:4] for s in parts if s[4]]
+        again += [(i, a) for a in wide_starts(cut, len(texts[i]))]
+    # as many characters at once as with narrow windows
+    some = 1024 * WINDOW // WIDE
+    for at in range(0, len(again), some):
+        path, p = tagger.tags(np.concatenate([_windows(own[i], np.array([a]), WIDE) for i, a in again[at : at + some]]))
+        for (i, a), tags, sures in zip(again[at : at + some], path, p):
+            found[i] += [s[:4] for s in window_parts(tags, sures, a, len(texts[i])) if s[4]]
     out = []
     for text, spans, base, no in zip(texts, found, known, refused):
         usable = [s for s in spans_ok(spans, sure) if s[2] - s[1] >= LEAST_CHARS and MARK.search(text, s[1], s[2]) and all(s[2] <= a or s[1] >= b for _, a, b in base)]

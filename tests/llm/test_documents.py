@@ -413,6 +413,25 @@ def test_trained_variants_reach_the_result(spark, trained):
         assert "card" not in spans
 
 
+def test_long_addresses_are_found_at_any_offset(trained):
+    values = ["firstname.lastname @ department.example.org", "firstname.lastname.office(at)department.example.mail.support.org"]
+    for value in values:
+        texts = [(FILLER * 2)[k:] + value + " " + FILLER for k in range(32)]
+        base = [pii.checked_spans(t) for t in texts]
+        added = pii.added_spans(trained, texts, [b for b, _ in base], [r for _, r in base])
+        whole = [("email", t.index(value), t.index(value) + len(value)) in spans for t, spans in zip(texts, added)]
+        assert sum(whole) >= 30, (value, whole)
+
+
+def test_wide_windows_hold_the_longest_address():
+    for length in (500, 769, 5000):
+        for at in range(0, length - 320, 7):
+            # whichever part of it a narrow window has cut, one wide window has all of it and does not end at it
+            for cut in ((at, at + 1), (at + 319, at + 320)):
+                starts = pii.wide_starts([cut], length)
+                assert any((a < at or a == 0) and (a + pii.WIDE > at + 320 or at + 320 == length) for a in starts)
+
+
 # ---- mixing -------------------------------------------------------------------------------------
 
 
