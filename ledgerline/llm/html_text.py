@@ -1,13 +1,13 @@
 """HTML extraction with the layout kept: a tree of elements, then a rendering of its visible text.
 
-The tree builder knows void elements, tags that an opening tag ends by itself (``p``, ``li``, ``dt``, ``td``,
+The tree builder knows void elements, rows that a cell implies, tags that an opening tag ends by itself (``p``, ``li``, ``dt``, ``td``,
 ``tr``, ``option``, ...), raw text (``script``, ``style``, ...) and closing tags that match no open element. Each page is a
 row on its own, so Spark splits the work by rows.
 
 Rendering: what is hidden (script, style, head, ``hidden``, ``display:none``, ``visibility:hidden``, closed
 ``details``) is left out; ``title`` belongs to the head and is not part of the page. Blocks begin and end lines, paragraphs
 and headings stand apart by a blank line, list items get a bullet or their number and an indent for each level,
-table rows become lines whose columns start at the same place, ``pre`` keeps its white space, images give their ``alt``.
+table rows become lines whose columns start at the same place (what is in a table but in no cell comes before them), ``pre`` keeps its white space, images give their ``alt``.
 
 A null page gives null, an empty one an empty text. Ids may be null or repeated; rows come back one for one.
 """
@@ -42,6 +42,9 @@ CLOSED_BY = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
+#: Parts of a table open right inside the nearest of these, whatever else is open in between.
+SECTIONS = frozenset("tbody thead tfoot".split())
+INSIDE = {"td": SECTIONS | {"tr", "table"}, "th": SECTIONS | {"tr", "table"}, "tr": SECTIONS | {"table"}} | {n: frozenset({"table"}) for n in SECTIONS}
 ENDS_PARAGRAPH = BLOCKS - frozenset("body html option optgroup li dt dd tr tbody thead tfoot".split()) | {"li", "dt", "dd"}
 KEEPS_PARAGRAPH = frozenset("table td th li dd dt button caption".split())
 
@@ -92,6 +95,14 @@ def parse(page: str) -> tuple[Element, int]:
             close(*CLOSED_BY[name])
         if name in ENDS_PARAGRAPH:
             close({"p"}, KEEPS_PARAGRAPH)
+        if name in INSIDE:
+            inner = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].name in INSIDE[name] or stack[d].name in ("td", "th")), 0)
+            if inner and stack[inner].name in INSIDE[name]:
+                del stack[inner + 1 :]
+                if name in ("td", "th") and stack[-1].name != "tr":
+                    row = Element("tr")
+                    stack[-1].children.append(row)
+                    stack.append(row)
         attributes = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(token[3])} if token[3].strip() else {}
         element = Element(name, attributes)
         stack[-1].children.append(element)
@@ -161,18 +172,30 @@ def _rows(table: Element) -> list[list[Element]]:
             continue
         if child.name == "tr":
             out.append([c for c in child.children if not isinstance(c, str) and c.name in ("td", "th") and visible(c)])
-        elif child.name in ("tbody", "thead", "tfoot"):
+        elif child.name in SECTIONS:
             out += _rows(child)
     return out
 
 
+def _strays(part: Element, lines: _Lines) -> None:
+    """What stands in a table, a section or a row but in no cell comes before the rows."""
+    for child in part.children:
+        if isinstance(child, str):
+            if child.strip():
+                _node(child, lines, 0)
+        elif child.name == "caption":
+            if visible(child):
+                _children(child, lines, 0)
+                lines.end()
+        elif child.name in SECTIONS or child.name in ("tr", "colgroup"):
+            if visible(child):
+                _strays(child, lines)
+        elif child.name != "col" and not (part.name == "tr" and child.name in ("td", "th")):
+            _node(child, lines, 0)
+
+
 def _table(table: Element, lines: _Lines) -> None:
-    for child in table.children:
-        if not isinstance(child, str) and child.name == "caption" and visible(child):
-            _children(child, lines, 0)
-            lines.end()
-        elif not isinstance(child, str) and child.name not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col", "caption") or isinstance(child, str) and child.strip():
-            _node(child, lines, 0)  # what stands in a table but in no cell comes before its rows
+    _strays(table, lines)
     lines.end()
     rows = [[render(cell).replace("\n\n", "\n").split("\n") for cell in row] for row in _rows(table)]
     width: dict[int, int] = {}

@@ -87,6 +87,14 @@ def test_layout_of_odd_pages(spark):
     assert page_texts(frame.limit(0)).count() == 0
 
 
+def test_table_text_outside_of_cells_stays():
+    assert page_text("<table><tbody><td>x<td>y<tr><td>z</table>") == "x  y\nz"
+    assert page_text("<table><tr><form><td>a<td>b</form></table>") == "a  b"
+    assert page_text("<table><tr><b>bold<td>a<td>b</b><tr><td>c</table>") == "bold\na  b\nc"
+    assert page_text("<table><tr>one<td>a</td>two</tr><tbody>three<div>four</div><tr><td>b</tbody></table>").split() == ["onetwothree", "four", "a", "b"]
+    assert page_text("<table><form><tr><td>a<table><td>b</table><td>c</form></table>end") == "a  c\nb\n\nend"
+
+
 def test_all_visible_words_stay(spark):
     import html
     import re
