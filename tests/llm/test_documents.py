@@ -191,6 +191,27 @@ def test_junk_is_rejected(spark, documents):
     assert not kept[1000]["kept"] and sum(kept[i]["kept"] for i in range(200)) >= 197
 
 
+def test_bands_of_copies_and_of_few_texts(spark):
+    # by language: 300 texts, 30 of one size class and 200 copies of one of them, one text of a rare language
+    draw = random.Random(4)
+    rows = [("en", 10, k, 2.2 + draw.uniform(-0.1, 0.1)) for k in range(300)]
+    rows += [("de", 10, k, 2.3 + draw.uniform(-0.1, 0.1)) for k in range(1000, 1030)] + [("de", 10, 1000, 2.3)] * 200
+    rows += [("de", 16, 2000, 5.0), ("fi", 10, 3000, 5.0)]
+    frame = spark.createDataFrame([(*r, False) for r in rows], "lang string, size long, same long, log_perplexity double, base_failed boolean")
+    got = {(r["_lang"], r["_size"]): (r["low"], r["high"]) for r in perplexity.bands(frame).collect()}
+    assert all(got[r[0], r[1]][0] <= r[3] <= got[r[0], r[1]][1] for r in rows[:530])
+    assert got["de", 16][1] < 5.0 and got["fi", 10][1] < 5.0
+
+
+def test_copies_do_not_narrow_a_band(spark, documents):
+    words = " ".join(r["text"] for r in documents.limit(60).collect()).split()
+    draw = random.Random(5)
+    texts = [" ".join(draw.choices(words, k=120)) for _ in range(100)]
+    rows = [(i, t, "en") for i, t in enumerate([*texts, *[texts[0]] * 150])]
+    kept = by_id(perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert sum(kept[i]["kept"] for i in range(100)) >= 97
+
+
 def greedy(word, vocabulary):
     data, n = b" " + word.encode(), 0
     while data:
