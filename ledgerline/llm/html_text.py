@@ -4,8 +4,9 @@ The tree builder knows void elements, rows that a cell implies, tags that an ope
 ``tr``, ``option``, ...), raw text (``script``, ``style``, ...) and closing tags that match no open element. Each page is a
 row on its own, so Spark splits the work by rows.
 
-Rendering: what is hidden (script, style, head, ``hidden``, ``display:none``, ``visibility:hidden``, closed
-``details``) is left out; ``title`` belongs to the head and is not part of the page. Blocks begin and end lines, paragraphs
+Rendering: what is hidden (script, style, head, ``hidden``, ``display:none``, closed ``details``, and
+``visibility:hidden`` where no descendant is made visible again) is left out; ``title`` belongs to the head and is not part of
+the page. Text of formulas and drawings stays, without the descriptions and definitions in them. Blocks begin and end lines, paragraphs
 and headings stand apart by a blank line, list items get a bullet or their number and an indent for each level,
 table rows become lines whose columns start at the same place (what is in a table but in no cell comes before them), ``pre`` keeps its white space, images give their ``alt``.
 
@@ -24,7 +25,10 @@ from pyspark.sql import DataFrame
 # Element names of the HTML standard, by the role they have here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noframes template xmp".split())
-HIDDEN = frozenset("head script style noscript template iframe noframes datalist object audio video canvas svg math title".split())
+HIDDEN = frozenset("head script style noscript template iframe noframes datalist object audio video canvas title".split())
+#: Not shown, and only there: inside svg and inside math.
+UNSEEN = {"svg": frozenset("desc defs metadata symbol clippath mask marker pattern".split()), "math": frozenset("annotation annotation-xml".split())}
+APART = frozenset("text mtd mtr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 #: An opening tag closes an open element of these names, if none of the limits lies in between.
@@ -51,7 +55,8 @@ KEEPS_PARAGRAPH = frozenset("table td th li dd dt button caption".split())
 DEEPEST = 100
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_INVISIBLE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|initial|hidden|collapse)", re.I)
 _BLANK = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -117,9 +122,31 @@ def parse(page: str) -> tuple[Element, int]:
     return root, deepest
 
 
+def settle(root: Element) -> None:
+    """Takes out what is not shown because of where it stands: text under ``visibility:hidden`` that no descendant makes visible again, and definitions in svg and math."""
+    work = [(root, True, "")]
+    while work:
+        element, shown, drawing = work.pop()
+        kept: list[Element | str] = []
+        for child in element.children:
+            if isinstance(child, str):
+                kept += [child] if shown else []
+                continue
+            if child.name in UNSEEN.get(drawing, ()):
+                continue
+            said = _VISIBILITY.findall(child.attributes.get("style", ""))
+            if said and said[-1].lower() == "collapse" and child.name in INSIDE:
+                continue  # such rows have no place at all
+            own = said[-1].lower() in ("visible", "initial") if said else shown
+            if own or child.name not in ("img", "input", "hr"):
+                kept.append(child)
+            work.append((child, own, child.name if child.name in UNSEEN else "" if child.name == "foreignobject" else drawing))
+        element.children = kept
+
+
 def visible(element: Element) -> bool:
     a = element.attributes
-    return not (element.name in HIDDEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or element.name == "input" and a.get("type", "").lower() == "hidden" or _INVISIBLE.search(a.get("style", "")))
+    return not (element.name in HIDDEN or "hidden" in a or element.name == "input" and a.get("type", "").lower() == "hidden" or _INVISIBLE.search(a.get("style", "")))
 
 
 class _Lines:
@@ -261,6 +288,10 @@ def _node(node: Element | str, lines: _Lines, depth: int) -> None:
         _children(node, lines, depth + 1)
         lines.end(blank)
         lines.prefix = before
+    elif name in APART:  # labels of a drawing and cells of a matrix
+        lines.flow(" ")
+        _children(node, lines, depth + 1)
+        lines.flow(" ")
     else:
         _children(node, lines, depth + 1)
 
@@ -277,6 +308,7 @@ def page_text(page: str | None) -> str | None:
     if page is None:
         return None
     tree, depth = parse(page)
+    settle(tree)
     return render(tree if depth < DEEPEST else flattened(tree))
 
 

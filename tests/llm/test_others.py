@@ -95,6 +95,14 @@ def test_table_text_outside_of_cells_stays():
     assert page_text("<table><form><tr><td>a<table><td>b</table><td>c</form></table>end") == "a  c\nb\n\nend"
 
 
+def test_shown_text_is_not_taken_for_hidden():
+    assert page_text("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b") == "a x=2 b"
+    assert page_text("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>one</text><text>two</text></svg>") == "one two"
+    assert page_text("<i aria-hidden='true'>icon</i> label<desc>yes</desc>") == "icon labelyes"
+    assert page_text("<div style='visibility:hidden'>no<b>no</b><b style='visibility: visible'>yes</b><img alt='no'></div>") == "yes"
+    assert page_text("<table><tr style='visibility:collapse'><td style='visibility:visible'>no<tr><td>a</table>") == "a"
+
+
 def test_all_visible_words_stay(spark):
     import html
     import re
