@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.chat import CHAT_SQL, chat_digests, with_hostile
 from ledgerline.llm.common import table
 from ledgerline.llm.html_text import page_texts
 from ledgerline.llm.mixing import MIX_SQL, poisson_mix
@@ -81,3 +82,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_toxicity")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_chat_format", CHAT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_digests(with_hostile(table(spark, sf_dir, "conversations"), spark))
