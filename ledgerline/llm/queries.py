@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.chat import CHAT_SQL, chat_digests, with_hostile
 from ledgerline.llm.common import table
+from ledgerline.llm.hard_negatives import HARD_NEGATIVES_SQL, hard_negatives, noisy_label
 from ledgerline.llm.html_text import page_texts
 from ledgerline.llm.mixing import MIX_SQL, poisson_mix
 from ledgerline.llm.near_dup import jaccard_join
@@ -87,3 +88,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_chat_format", CHAT_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(with_hostile(table(spark, sf_dir, "conversations"), spark))
+
+
+@query("op12_hard_negatives", HARD_NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, noisy_label())
