@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.chat import CHAT_SQL, chat_digests, with_hostile
+from ledgerline.llm.collocations import COLLOCATIONS_SQL, collocations
 from ledgerline.llm.common import table
 from ledgerline.llm.hard_negatives import HARD_NEGATIVES_SQL, hard_negatives, noisy_label
 from ledgerline.llm.html_text import page_texts
@@ -93,3 +94,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_hard_negatives", HARD_NEGATIVES_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, noisy_label())
+
+
+@query("op13_collocations", COLLOCATIONS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
