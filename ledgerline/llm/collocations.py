@@ -33,13 +33,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import U, mix, slices, staged, word_bounds, word_hashes
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-SHARD_BYTES, RANGE_BYTES, LEAST_RANGES = 12 << 20, 12 << 20, 8
+SHARD_BYTES, RANGE_BYTES, LEAST_RANGES = 4 << 20, 24 << 20, 8
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -50,7 +51,8 @@ _SPACE = _CUT.copy()
 _SPACE[[0x20, 0x09]] = True
 _STEP = U(0x9E3779B97F4A7C15)
 
-AUTOMATON = "lang string, range int, words array<string>, sizes array<int>, parent array<int>, label array<int>, weight array<long>"
+#: ``sizes`` has the number of states of each depth, ``packed`` the words and the states.
+AUTOMATON = "lang string, range int, sizes array<int>, packed binary"
 
 
 # ---- words of a shard --------------------------------------------------------------------------
@@ -99,9 +101,10 @@ def shards(batch: pa.RecordBatch, most: int = SHARD_BYTES) -> Iterator[Shard]:
         ends_at = np.concatenate(([0], np.cumsum(ends - starts)))
         words, codes = _sorted_words(pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends_at), pa.py_buffer(text)]))
         row = np.repeat(np.arange(to - at), np.diff(before))
-        piece = np.cumsum(_CUT[data])[starts] + row
+        piece = np.searchsorted(np.flatnonzero(_CUT[data]), starts) + row
         lang = batch.column("lang").slice(at, to - at).dictionary_encode()
         follows = np.append(piece[1:] == piece[:-1], False)
+        del starts, ends, ends_at, data, text, piece
         yield Shard(words, hashes_of(words), codes, lang.dictionary.to_pylist(), lang.indices.to_numpy()[row].astype(np.int64), follows)
 
 
@@ -228,47 +231,59 @@ def shard_automata(shard: Shard, filters: list[Bloom], ranges: int) -> pa.Record
     return _packed(levels, shard.words, lambda roots: (pa.array(shard.langs, pa.string()).take(pa.array(roots // ranges)), pa.array((roots % ranges).astype(np.int32))))
 
 
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest width that holds them all, after that width and their count."""
+    low, high = int(numbers.min(initial=0)), int(numbers.max(initial=0))
+    kind = next(k for k in ("i1", "i2", "i4", "i8") if -(1 << 8 * int(k[1]) - 1) <= low and high < 1 << 8 * int(k[1]) - 1)
+    return np.array([int(kind[1]), len(numbers)], "<i8").tobytes() + numbers.astype(f"<{kind}").tobytes()
+
+
+def _pack(words: pa.Array, states: list[dict]) -> bytes:
+    """Words and states of one automaton, compressed; parents never decrease, so their steps are small."""
+    data, offsets = _bytes_of(words)
+    parts = [np.diff(offsets), data.view(np.int8)]
+    for level in states:
+        parts += [np.diff(level["parent"], prepend=0), level["label"], level["weight"]]
+    return zstandard.compress(b"".join(map(_narrow, parts)), 1)
+
+
+def _unpack(packed: bytes) -> tuple[pa.Array, list[dict]]:
+    data, at, parts = zstandard.decompress(packed), 0, []
+    while at < len(data):
+        width, count = np.frombuffer(data, "<i8", 2, at)
+        parts.append(np.frombuffer(data, f"<i{width}", count, at + 16).astype(np.int8 if len(parts) == 1 else np.int64))
+        at += 16 + int(width * count)
+    offsets = _starts(parts[0])
+    words = pa.Array.from_buffers(pa.large_string(), len(parts[0]), [None, pa.py_buffer(offsets), pa.py_buffer(parts[1])])
+    return words, [{"parent": np.cumsum(p), "label": l, "weight": w} for p, l, w in zip(parts[2::3], parts[3::3], parts[4::3])]
+
+
 def _packed(levels: list[dict], words: pa.Array, named) -> pa.RecordBatch:
-    """Rows of ``AUTOMATON``: states go by root, then depth; parents are counted inside their root's depth."""
+    """Rows of ``AUTOMATON``: one for each root, its states in order of depth and root."""
     roots = np.unique(levels[0]["root"])
-    sizes = []
-    for above, level in zip([None, *levels], levels):
+    above = None
+    for level in levels:
         order = np.argsort(level["root"], kind="stable")
         moved = np.empty(len(order), np.int64)
         moved[order] = np.arange(len(order))
-        if above is not None:
-            level["parent"] = above["moved"][level["parent"]]
-        for name in ("parent", "label", "weight", "root"):
-            level[name] = level[name][order]
-        root = np.searchsorted(roots, level["root"])
-        if above is not None:
-            level["parent"] = level["parent"] - above["from"][root]
-        else:
-            level["parent"] = np.zeros(len(order), np.int64)
-        sizes.append(np.bincount(root, minlength=len(roots)))
-        level |= {"moved": moved, "from": _starts(sizes[-1]), "place": root}
-    place = np.concatenate([x["place"] for x in levels])
-    order = np.argsort(place, kind="stable")
-    flat = {n: np.concatenate([x[n] for x in levels])[order] for n in ("parent", "label", "weight")}
-    place, v = place[order], max(1, len(words))
-    key, label = _states(place * v + flat["label"])
-    vocabulary = _starts(np.bincount(key // v, minlength=len(roots)))
-    label = label - vocabulary[place]
-    states = pa.array(_starts(np.sum(sizes, axis=0)), pa.int32())
-    lists = lambda offsets, values: pa.ListArray.from_arrays(offsets, values)
+        parent = level["parent"] if above is None else above["moved"][level["parent"]]
+        parent, level["label"], level["weight"] = parent[order], level["label"][order], level["weight"][order]
+        place = np.searchsorted(roots, level["root"][order])
+        level["parent"] = np.zeros(len(order), np.int64) if above is None else parent - above["from"][place]
+        level |= {"moved": moved, "from": _starts(np.bincount(place, minlength=len(roots)))}
+        above = level
+    cells = []
+    for i in range(len(roots)):
+        own = [{n: x[n][x["from"][i] : x["from"][i + 1]] for n in ("parent", "label", "weight")} for x in levels]
+        known, label = np.unique(np.concatenate([x["label"] for x in own]), return_inverse=True)
+        for x, part in zip(own, np.split(label, _starts(np.array([len(x["label"]) for x in own]))[1:-1])):
+            x["label"] = part
+        cells.append(_pack(words.take(pa.array(known)), own))
+    sizes = np.array([np.diff(x["from"]) for x in levels], np.int32).T
     lang, range_no = named(roots)
-    return pa.RecordBatch.from_arrays(
-        [
-            lang,
-            range_no,
-            lists(pa.array(vocabulary, pa.int32()), words.take(pa.array(key % v)).cast(pa.string())),
-            lists(pa.array(np.arange(len(roots) + 1) * len(levels), pa.int32()), pa.array(np.array(sizes).T.ravel().astype(np.int32))),
-            lists(states, pa.array(flat["parent"].astype(np.int32))),
-            lists(states, pa.array(label.astype(np.int32))),
-            lists(states, pa.array(flat["weight"].astype(np.int64))),
-        ],
-        names=["lang", "range", "words", "sizes", "parent", "label", "weight"],
-    )
+    offsets = pa.array(np.arange(len(roots) + 1) * len(levels), pa.int32())
+    columns = [lang, range_no, pa.ListArray.from_arrays(offsets, pa.array(sizes.ravel())), pa.array(cells, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "range", "sizes", "packed"])
 
 
 @dataclass
@@ -306,12 +321,8 @@ class Automaton:
 
 
 def _automata(rows: pa.Table) -> Iterator[Automaton]:
-    for row in rows.select(["lang", "words", "sizes", "parent", "label", "weight"]).to_batches():
-        for i in range(row.num_rows):
-            cell = {n: row.column(n)[i].values for n in ("words", "sizes", "parent", "label", "weight")}
-            at = _starts(cell["sizes"].to_numpy())
-            flat = {n: cell[n].to_numpy() for n in ("parent", "label", "weight")}
-            yield Automaton(row.column("lang")[i].as_py(), cell["words"].cast(pa.large_string()), [{n: x[a:b] for n, x in flat.items()} for a, b in zip(at, at[1:])])
+    for lang, packed in zip(rows["lang"].to_pylist(), rows["packed"]):
+        yield Automaton(lang, *_unpack(packed.as_buffer()))
 
 
 def united(rows: pa.Table, first: int, least: int) -> tuple[pa.RecordBatch, int]:
@@ -339,19 +350,14 @@ def united(rows: pa.Table, first: int, least: int) -> tuple[pa.RecordBatch, int]
         if depth:
             levels[depth]["parent"] = moved[levels[depth]["parent"]]
             keep = used | (levels[depth - 1]["weight"] >= least)
-    # an automaton without states is one row too: its total counts
-    levels[0]["root"], empty = levels[0]["root"], not len(levels[0]["label"])
     lang, range_no = rows["lang"][0].as_py(), rows["range"][0].as_py()
-    if empty:
-        out = pa.RecordBatch.from_pylist([{"lang": lang, "range": range_no, "words": [], "sizes": [0] * len(levels), "parent": [], "label": [], "weight": []}], schema=_SCHEMA)
-    else:
-        out = _packed(levels, words, lambda roots: (pa.array([lang], pa.string()), pa.array([range_no], pa.int32())))
-    return out, total
+    if not len(levels[0]["label"]):  # an automaton without states is one row too: its total counts
+        packed = _pack(words.slice(0, 0), [{n: np.zeros(0, np.int64) for n in ("parent", "label", "weight")} for _ in levels])
+        return pa.RecordBatch.from_pylist([{"lang": lang, "range": range_no, "sizes": [0] * len(levels), "packed": packed}], schema=_SCHEMA), total
+    return _packed(levels, words, lambda roots: (pa.array([lang], pa.string()), pa.array([range_no], pa.int32()))), total
 
 
-_SCHEMA = pa.schema(
-    [("lang", pa.string()), ("range", pa.int32()), ("words", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("parent", pa.list_(pa.int32())), ("label", pa.list_(pa.int32())), ("weight", pa.list_(pa.int64()))]
-)
+_SCHEMA = pa.schema([("lang", pa.string()), ("range", pa.int32()), ("sizes", pa.list_(pa.int32())), ("packed", pa.binary())])
 
 
 def count_automata(docs: DataFrame, filters: list[Bloom], ranges: int, least: int) -> DataFrame:
