@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,8 +31,6 @@ from ledgerline.llm.common import SPACE, slices, staged, word_bounds, word_hashe
 LENGTH = 1024
 END_ID = 0
 SLICE = 1 << 20
-BUCKET_ROWS = 1000
-MOST_BUCKETS = 4096
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -248,8 +247,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     placed = slots(shortest_pack_first(histogram, length))
     table = spark.createDataFrame(placed, "size long, from_rank long, to_rank long, times long, first_sequence long, first_offset long")
 
-    # rank inside a length: rank inside a bucket of it, after all smaller buckets
-    buckets = min(MOST_BUCKETS, 1 + sum(histogram.values()) // BUCKET_ROWS)
+    # rank inside a length: rank inside a bucket of it, after all smaller buckets; as many buckets as rows in one
+    buckets = 1 + math.isqrt(sum(histogram.values()))
     dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
