@@ -5,8 +5,9 @@ the mean is the repetition rate that its source needs to reach its target weight
 state, is the same however the input is split, and survives lost tasks. The copies are then dealt to
 tasks, and ordered in them, by a hash of id and copy: a global shuffle.
 
-Weights are shares of documents. A null source is a source of its own. Null ids hash alike, as do rows
-that are repeated: they get the same number of copies. Empty texts count as any other.
+Weights are shares of documents. A null source is a source of its own. A row with a null id is known by
+its text and source. Rows that are repeated hash alike: they get the same number of copies. Empty texts
+count as any other. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ def _hash_number(hex_digits: int, *parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, hex_digits), 16, 10).cast("long")
 
 
-def _identity(doc_id: str) -> Column:
-    return F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
+def _identity() -> Column:
+    """What is hashed: the id; for a null id the text and source, so that such rows differ too."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "source")]
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(told[0]), F.lit(":"), told[1]))
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, size: float = 1.0) -> DataFrame:
@@ -58,9 +61,9 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, tempe
     return rated.select("source", "rate", cdf.alias("cdf"))
 
 
-def copies(doc_id: str, seed: str = SEED) -> Column:
+def copies(seed: str = SEED) -> Column:
     """The quantile: how many values of ``cdf`` are not above the document's uniform number."""
-    uniform = _hash_number(13, F.lit(seed), _identity(doc_id)) / F.lit(float(2**52))
+    uniform = _hash_number(13, F.lit(seed), _identity()) / F.lit(float(2**52))
     return F.when(F.col("cdf").isNull(), 0).otherwise(F.size(F.filter("cdf", lambda c: c <= uniform)))
 
 
@@ -73,13 +76,14 @@ def poisson_mix(docs: DataFrame, weights: dict[str | None, float] | None = None,
     """
     names = [c for c in docs.columns if c not in ("replica", "shuffle_key")]
     known = staged(rates(docs, weights, temperature, size)).select(F.col("source").alias("_source"), "cdf")
-    counted = docs.select(*names).join(known, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", copies("doc_id", seed))
+    counted = docs.select(*names).join(known, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", copies(seed))
     replicated = counted.where("_copies > 0").select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long"))).alias("replica"))
-    keyed = replicated.withColumn("shuffle_key", _hash_number(15, F.lit(seed), F.lit("shuffle"), _identity("doc_id"), F.col("replica").cast("string")))
+    keyed = replicated.withColumn("shuffle_key", _hash_number(15, F.lit(seed), F.lit("shuffle"), _identity(), F.col("replica").cast("string")))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 #: The same in one SQL statement, for the default parameters.
+_IDENTITY_SQL = "coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')) || ':' || coalesce(source, ''))"
 MIX_SQL = f"""
 WITH counted AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rated AS (
@@ -95,7 +99,7 @@ cdf AS (
     SELECT source, k, sum(exp(k * ln(rate) - rate - log_factorial)) OVER (PARTITION BY source ORDER BY k) AS below FROM logs
 ),
 uniform AS (
-    SELECT *, CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+    SELECT *, CAST('0x' || substr(md5('{SEED}:' || {_IDENTITY_SQL}), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
     FROM documents
 ),
 copied AS (
@@ -104,6 +108,6 @@ copied AS (
     FROM uniform d
 ),
 replicated AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1)) AS replica FROM copied)
-SELECT *, CAST('0x' || substr(md5('{SEED}:shuffle:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(replica AS VARCHAR)), 1, 15) AS BIGINT) AS shuffle_key
+SELECT *, CAST('0x' || substr(md5('{SEED}:shuffle:' || {_IDENTITY_SQL} || ':' || CAST(replica AS VARCHAR)), 1, 15) AS BIGINT) AS shuffle_key
 FROM replicated
 """
