@@ -4,8 +4,8 @@
    into bands. Texts of equal sets form one *node*; only nodes go on, so exact copies cost nothing more.
 2. Band hashes are shuffled; nodes that share a bucket are candidates. Buckets with the same members
    are kept once.
-3. The n-gram sets of candidates alone are made again and dealt to their buckets. A large bucket is cut
-   into blocks, and each pair of blocks is one unit of work, so no task holds a large group, and no
+3. The n-gram sets of candidates alone are made again and dealt to their buckets. A large bucket (many rows, or many n-grams in
+   them) is cut into blocks, and each pair of blocks is one unit of work, so no task holds a large group, and no
    pair leaves a task: a unit returns a number of links for each node and a spanning forest of them.
 4. A pair that shares several buckets is counted in the smallest one.
 
@@ -31,6 +31,7 @@ SIMILARITY = 0.8
 TARGET_RECALL = 0.999
 ROWS = 5
 BLOCK = 512
+BLOCK_GRAMS = 1 << 20
 
 
 def banding(similarity: float = SIMILARITY, recall: float = TARGET_RECALL, rows: int = ROWS) -> tuple[int, int]:
@@ -158,10 +159,14 @@ def _verified(sets: DataFrame, similarity: float, block: int) -> DataFrame:
 
     The rows of one unit are consecutive in their partition; a unit has two blocks at most.
     """
-    members = sets.select("node", F.explode("keys").alias("key"))
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = sets.withColumn("key", F.explode("keys")).join(blocks, "key").withColumn("block", F.expr("cast(pmod(xxhash64(node, key), blocks) as int)"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "grams", "keys", "weight", "key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    members = sets.select("node", F.size("grams").alias("size"), F.explode("keys").alias("key"))
+    needed = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int")
+    large = members.groupBy("key").agg(needed.alias("blocks")).where("blocks > 1")
+    # only names of rows meet by bucket; their sets follow by row
+    dealt = members.join(large, "key", "left").select("node", "key", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    dealt = dealt.withColumn("block", F.expr("cast(pmod(xxhash64(node, key), blocks) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    rows = sets.join(dealt, "node").select("node", "grams", "keys", "weight", "key", "block", "lo", "hi")
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def run(batches):
