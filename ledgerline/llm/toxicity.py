@@ -17,8 +17,10 @@ both kinds every score is next to that of the only kind (0 if there are no label
 
 from __future__ import annotations
 
+import heapq
 import re
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ PREFIXES = (3, 4, 5, 6, 8)
 SENTENCE_WORDS = 40
 STEPS = 150
 PENALTY = 1.0
+#: Bound of the fit: swapped sentences that the penalty is taken over.
+SWAPS = 50_000
 
 #: Terms that may stand for each other, by group.
 IDENTITY_TERMS = (
@@ -127,10 +131,13 @@ def swapped(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, penalty: float = PENALTY, ridge: float = 1e-4, rate: float = 0.15, least: int = 3) -> tuple[np.ndarray, float]:
-    """Weights by feature and the constant, by Adam on the noisy-or loss, the swap penalty and a ridge."""
+def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, penalty: float = PENALTY, ridge: float = 1e-4, rate: float = 0.15, least: int = 3, swaps: int = SWAPS) -> tuple[np.ndarray, float]:
+    """Weights by feature and the constant, by Adam on the noisy-or loss, the swap penalty and a ridge.
+
+    Of the swapped sentences, the ``swaps`` with the smallest hash count, whatever the label of their text.
+    """
     own = Prepared.of(*_as_buffer(texts))
-    pairs = [p for t in texts for p in swapped(t)][:50_000]
+    pairs = heapq.nsmallest(swaps, (p for t in texts for p in swapped(t)), key=lambda p: (crc32("\0".join(p).encode()), p))
     left, right = (Prepared.of(*_as_buffer([p[k] for p in pairs])) for k in (0, 1))
     weights, bias = np.zeros((1 << BITS) + 1), -9.0
     text = np.repeat(np.arange(len(texts)), np.diff(own.before))
