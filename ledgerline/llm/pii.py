@@ -38,9 +38,11 @@ WIDE = 768
 HIDDEN = 16
 DOCS = 600
 MOST_CHARS = 20_000
+#: Bound of the fit: windows that the tagger learns from, chosen at random from the sampled texts.
 WINDOWS = 1600
 STEPS = 240
 SURE = 0.5
+#: Spans of the model shorter than the shortest IP are no personal data; shorter addresses, as a@b.c, the pattern reads.
 LEAST_CHARS = 7
 #: What every span holds, and what a text or window is read for.
 MARK = re.compile(r"[0-9@]|\(at\)", re.I)
