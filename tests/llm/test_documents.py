@@ -496,7 +496,7 @@ def test_shuffled_text_of_other_scripts_is_rejected(spark):
     shuffled = ["".join(draw.sample(t, len(t))) for t in texts[:5]]
     spaced = [" ".join(t[k : k + 40] for k in range(0, len(t), 41)) for t in (s.replace(" ", "") for s in shuffled)]
     rows = [(i, t, "zh") for i, t in enumerate(texts)] + [(100 + i, t, "zh") for i, t in enumerate(spaced)]
-    got = {r["doc_id"]: r["kept"] for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    got = {r["doc_id"]: r["kept"] for r in perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not any(got[100 + i] for i in range(5))
     assert sum(got[i] for i in range(60)) >= 55
 
@@ -504,15 +504,13 @@ def test_shuffled_text_of_other_scripts_is_rejected(spark):
 def test_null_ids_are_mixed_one_by_one(spark):
     rows = [(None, f"text {i}", "s") for i in range(400)] + [(i, "t", "s") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = poisson_mix(docs, size=2.0)
+    got = mixing.poisson_mix(docs, size=2.0)
     keys = got.where("doc_id is null").select("shuffle_key").distinct().count()
     counts = {r["count"] for r in got.where("doc_id is null").groupBy("text").count().collect()}
     assert keys > 600 and len(counts) > 3
 
 
-def test_swaps_are_bounded_by_hash(monkeypatch):
-    from ledgerline.llm import toxicity
-
+def test_swaps_are_bounded_by_hash():
     texts = [f"word{i} about {term} people here" for i in range(40) for term in list(toxicity._GROUP)[:3]]
     labels = np.array([i % 2 for i in range(len(texts))])
     one, two = (toxicity.fit(t, y, steps=3, swaps=50) for t, y in ((texts, labels), (texts[::-1], labels[::-1])))
