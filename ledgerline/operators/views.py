@@ -4,15 +4,21 @@ M = active transactions of the view's owner that fit its criteria; P and X = pin
 that are active and owned. matched = M - X, pinned = P - M, excluded = X; the counted set is
 (M - X) + P. An id stored in both P and X and also in M is in neither ``matched`` nor ``pinned``,
 but counts.
+
+Views are not tried on all transactions of their owner. *Facets*, the distinct currencies, types, banks, accounts, months and
+sizes of amount of each owner with their counts, tell which condition of a view leaves least; the view is filed under the
+facets that fit it, a transaction looks under its own facets, and only such pairs are tested in full.
 """
 
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .criteria import (
     active,
     id_set,
@@ -32,16 +38,98 @@ def _owned(tx: DataFrame) -> DataFrame:
     return with_lower_text(active(tx).select(*VIEW_FIELDS))
 
 
-def _matching(conditions: DataFrame, tx: DataFrame) -> DataFrame:
-    """(view_id, transaction_id) for every fitting transaction.
+#: What a view may be filed under. ``all`` is for views without any of the others.
+KINDS = ["all", "currency", "type", "bank", "account", "month", "size"]
+
+
+def _facet_values() -> Column:
+    """The value of each kind for a transaction, in the order of ``KINDS``; a month, a power of two for the amount."""
+    size = F.floor(F.log2(F.greatest(F.col("amount").cast("double"), F.lit(1.0)))).cast("string")
+    values = [
+        F.lit(""), F.col("l_currency_iso_code"), F.col("type"), F.col("l_bank_name"), F.col("l_account_id"),
+        F.date_format("date", "yyyy-MM"), size,
+    ]
+    return F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in zip(KINDS, values)])
+
+
+def facets(owned: DataFrame) -> DataFrame:
+    """``owner_id, kind, value, n`` with the ranges of dates and amounts: what an owner's transactions have, and how often."""
+    each = owned.select("owner_id", "date", "amount", F.explode(_facet_values()).alias("f"))
+    return each.where("f.value is not null").groupBy("owner_id", "f.kind", "f.value").agg(
+        F.count("*").alias("n"),
+        *[f(c).alias(f"{c}_{name}") for c in ("date", "amount") for f, name in ((F.min, "low"), (F.max, "high"))],
+        F.count_if(F.col("date").isNull() | F.col("amount").isNull()).alias("gaps"),
+    )
+
+
+def filed(conditions: DataFrame, facet: DataFrame) -> DataFrame:
+    """Views with a row for each facet that they are filed under: ``kind``, ``value``, ``n``, ``covered``.
 
-    An equi-join on the owner with the criteria as residual. Views are a small table next to
-    transactions, so Spark broadcasts them when their size allows; otherwise the shuffle join splits
-    an owner holding much of the data (adaptive skew join).
+    Each view goes under the kind of condition that leaves the fewest of its owner's transactions. ``covered``: the
+    condition is the view's only one and the whole facet fits it, so its transactions need no test.
+    """
+    col = F.col
+    dated = col("v_date_from").isNotNull() | col("v_date_to").isNotNull()
+    sized = col("v_min").isNotNull() | col("v_max").isNotNull()
+    has = {
+        "currency": F.size("v_currencies") > 0,
+        "type": col("v_type").isNotNull(),
+        "bank": F.size("v_banks") > 0,
+        "account": F.size("v_accounts") > 0,
+        "month": dated,
+        "size": sized,
+    }
+    words = F.size("v_words") > 0
+    asked = reduce(lambda a, b: a + b, [c.cast("int") for c in [*has.values(), words]])
+
+    def within(low: Column, high: Column, name: str, whole: bool) -> Column:
+        first, last = (f"{name}_low", f"{name}_high") if whole else (f"{name}_high", f"{name}_low")
+        return (low.isNull() | (col(first) >= low)) & (high.isNull() | (col(last) <= high))
+
+    any_word = lambda words, field: F.exists(words, lambda w: F.contains(field, w))
+    bounds = {"month": ("v_date_from", "v_date_to", "date"), "size": ("v_min", "v_max", "amount")}
+    fits = {
+        "all": F.lit(True),
+        "currency": F.array_contains("v_currencies", col("value")),
+        "type": col("v_type") == col("value"),
+        "bank": any_word("v_banks", col("value")),
+        "account": any_word("v_accounts", col("value")),
+        **{k: within(col(a), col(b), name, False) for k, (a, b, name) in bounds.items()},
+    }
+    meets = reduce(lambda a, b: a | b, [(col("kind") == k) & has.get(k, F.lit(True)) & f for k, f in fits.items()])
+    pairs = conditions.join(facet, (col("view_owner") == col("owner_id")) & meets).drop("owner_id")
+    whole = F.when(col("kind") == "all", asked == 0)
+    for kind, (low, high, name) in bounds.items():
+        fit = within(col(low), col(high), name, True) & (col("gaps") == 0)
+        whole = whole.when(col("kind") == kind, (asked == 1) & fit)
+    cost = F.sum("n").over(Window.partitionBy("view_id", "kind"))
+    least = F.min(F.struct(col("_cost"), "kind")).over(Window.partitionBy("view_id"))
+    # a condition that no facet fits leaves nothing of its view
+    wanted = 1 + asked - words.cast("int")
+    met = F.size(F.collect_set("kind").over(Window.partitionBy("view_id")))
+    chosen = pairs.withColumn("_cost", cost).withColumn("_least", least).withColumn("_met", met == wanted)
+    chosen = chosen.where("kind = _least.kind and _met").drop("_met")
+    gone = [c for c in facet.columns if c not in ("kind", "value", "n")]
+    return chosen.withColumn("covered", F.coalesce(whole.otherwise(asked == 1), F.lit(False))).drop("_cost", "_least", *gone)
+
+
+def candidate_pairs(owned: DataFrame, views: DataFrame) -> DataFrame:
+    """Transactions beside the filed views to test them by: an equi-join on owner and facet.
+
+    Views are a small table next to transactions, so Spark broadcasts them when their size allows; otherwise the
+    shuffle join splits what holds much of the data (adaptive skew join).
     """
-    slim = conditions.drop("v_pinned", "v_excluded")
-    joined = _owned(tx).join(slim, (F.col("owner_id") == F.col("view_owner")) & view_predicate())
-    return joined.select("view_id", F.col("id").alias("transaction_id"))
+    probes = owned.withColumn("_f", F.explode(_facet_values()))
+    return probes.join(
+        views,
+        (F.col("owner_id") == F.col("view_owner"))
+        & (F.col("_f.kind") == F.col("kind"))
+        & (F.col("_f.value") == F.col("value")),
+    )
+
+
+def _filed(conditions: DataFrame, tx: DataFrame) -> DataFrame:
+    return materialize(filed(conditions.drop("v_pinned", "v_excluded"), facets(_owned(tx))))
 
 
 def _edits(conditions: DataFrame, tx: DataFrame) -> DataFrame:
@@ -75,7 +163,9 @@ def view_membership(views: DataFrame, tx: DataFrame, as_of: date) -> DataFrame:
     conditions = with_view_conditions(views, as_of)
     edits = _edits(conditions, tx)
     excluded = edits.where("in_x").select("view_id", "transaction_id")
-    matched = _matching(conditions, tx).join(excluded, ["view_id", "transaction_id"], "left_anti")
+    pairs = candidate_pairs(_owned(tx), _filed(conditions, tx)).where(F.col("covered") | view_predicate())
+    matched = pairs.select("view_id", F.col("id").alias("transaction_id"))
+    matched = matched.join(excluded, ["view_id", "transaction_id"], "left_anti")
     pinned = edits.where("in_p and not in_m").select("view_id", "transaction_id")
     return (
         matched.withColumn("membership", F.lit("MATCHED"))
@@ -87,11 +177,14 @@ def view_membership(views: DataFrame, tx: DataFrame, as_of: date) -> DataFrame:
 def view_counts(views: DataFrame, tx: DataFrame, as_of: date) -> DataFrame:
     """(view_id, n): the size of (M - X) + P for every view, zero included.
 
-    |M| is counted on the map side of the join; the edited ids add or take away one each. No
-    (view, transaction) pair of M is ever shuffled.
+    What a view's facets cover is counted from the facets, the rest on the map side of the join; the edited ids add or
+    take away one each. No (view, transaction) pair of M is ever shuffled.
     """
     conditions = with_view_conditions(views, as_of)
-    matched = _matching(conditions, tx).groupBy("view_id").agg(F.count("*").alias("d"))
+    index = _filed(conditions, tx)
+    known = index.where("covered").groupBy("view_id").agg(F.sum("n").alias("d"))
+    tested = candidate_pairs(_owned(tx), index.where("not covered")).where(view_predicate())
+    matched = known.unionByName(tested.groupBy("view_id").agg(F.count("*").alias("d")))
     counted = (F.col("in_m") & ~F.col("in_x")) | F.col("in_p")
     changes = _edits(conditions, tx).groupBy("view_id").agg(
         F.sum(counted.cast("int") - F.col("in_m").cast("int")).alias("d")

@@ -5,8 +5,6 @@ Statement queries are compared with the rows that the statements were rendered f
 
 from __future__ import annotations
 
-from ..operators.quality import ISO_CURRENCIES
-
 ORACLES: dict[str, str] = {}
 
 TX = """
@@ -530,9 +528,30 @@ ORACLES["config_audit"] = """WITH c AS (SELECT c_custkey AS id, c_custkey % 2 =
   SELECT * FROM r"""
 
 # The codes stand in one place only, as three lists of fixed values.
-ORACLES["currency_codes"] = f"""WITH c AS (SELECT o_orderkey, concat(chr(cast(97 + o_orderkey // 676 % 26 AS int)),
-    chr(cast(97 + o_orderkey // 26 % 26 AS int)), chr(cast(97 + o_orderkey % 26 AS int))) AS code FROM orders)
-  SELECT o_orderkey, code, upper(code) IN ({", ".join(f"'{c}'" for c in ISO_CURRENCIES)}) AS known FROM c"""
+# Fixed values, written out a second time for comparison: ISO 4217 codes in use, of units, and withdrawn.
+IN_USE = """
+AED AFN ALL AMD ANG AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BRL BSD BTN BWP BYN
+BZD CAD CDF CHF CLP CNY COP CRC CUP CVE CZK DJF DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS
+GIP GMD GNF GTQ GYD HKD HNL HTG HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW KRW
+KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD MMK MNT MOP MRU MUR MVR MWK MXN MYR MZN NAD
+NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG QAR RON RSD RUB RWF SAR SBD SCR SDG SEK SGD
+SHP SLE SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD UYU UZS VES
+VND VUV WST XAF XCD XOF XPF YER ZAR ZMW ZWL
+""".split()
+UNITS = """
+BOV CHE CHW CLF COU MXV USN USS UYI XAD XAG XAU XBA XBB XBC XBD XCG XDR XFO XFU XPD XPT XSU XTS
+XUA XXX
+""".split()
+WITHDRAWN = """
+ADP AFA ATS AYM AZM BEF BGL BYB BYR CSD CUC CYP DEM EEK ESP FIM FRF GHC GRD GWP HRK IEP ITL LTL
+LUF LVL MGF MRO MTL MZM NLG PTE ROL RUR SDD SIT SKK SLL SRG STD TMM TPE TRL VEB VED VEF YUM ZMK
+ZWD ZWG ZWN ZWR
+""".split()
+
+ORACLES["currency_codes"] = f"""WITH c AS (SELECT concat(chr(cast(97 + o_orderkey // 26 % 26 AS int)),
+    chr(cast(97 + o_orderkey % 26 AS int)), chr(cast(97 + n AS int))) AS code FROM orders, unnest(range(26)) AS r(n))
+  SELECT code, count(*) AS orders, upper(code) IN ({", ".join(f"'{c}'" for c in [*IN_USE, *UNITS, *WITHDRAWN])}) AS known
+  FROM c GROUP BY code"""
 
 ORACLES["revision_selection"] = """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n,
     min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
@@ -558,8 +577,8 @@ def csv_rows(shift: int) -> str:
       cast(o_orderdate AS date) + {shift} AS d FROM orders"""
 
 
-ORACLES["csv_statement_roundtrip"] = f"""WITH r AS ({csv_rows(3653)})
-  SELECT concat('csv-', cast(n AS varchar)) AS file_id, row_pos, cast(d AS varchar) AS date,
+def csv_row_columns(prefix: str) -> str:
+    return f"""SELECT concat('{prefix}-', cast(n AS varchar)) AS file_id, row_pos, cast(d AS varchar) AS date,
     CASE n % 3 WHEN 0 THEN concat('Order ', cast(k AS varchar), ' ', p)
       WHEN 1 THEN concat('Order, "', cast(k AS varchar), '" ',
         CASE WHEN k % 9 = 0 THEN concat(chr(10), 'line two') ELSE 'one line' END)
@@ -571,6 +590,14 @@ ORACLES["csv_statement_roundtrip"] = f"""WITH r AS ({csv_rows(3653)})
     concat('acct-', cast(n AS varchar)) AS account_id
   FROM r"""
 
+
+ORACLES["csv_statement_roundtrip"] = f"WITH r AS ({csv_rows(3653)}) {csv_row_columns('csv')}"
+
+ORACLES["csv_large_files"] = f"""WITH o AS ({csv_rows(3653)}),
+  r AS (SELECT * EXCLUDE (n, row_pos), n % 3 AS n,
+    row_number() OVER (PARTITION BY n % 3 ORDER BY k) + 1 AS row_pos FROM o)
+  {csv_row_columns('big')}"""
+
 ORACLES["csv_file_status"] = f"""WITH r0 AS ({csv_rows(0)}),
   r AS (SELECT *, CASE WHEN n % 3 = 0 THEN make_date(2000 + year(d) % 100, month(d), day(d)) ELSE d END
     AS told FROM r0),
@@ -834,3 +861,22 @@ ORACLES["file_preview"] = """WITH o AS (SELECT o_orderkey AS k,
     CASE WHEN usable THEN cast(total AS double) END AS total, n % 3 = 0 AS already_imported FROM s
   UNION ALL SELECT concat('card-', cast(n AS varchar)), 'MATCHED', 41, 3, c, 0, cast(total AS double), false
   FROM cards"""
+
+
+def hot_text(step: int) -> str:
+    return f"""upper(regexp_replace(concat('CARDPAYMENTSIAMMALL', p_name,
+      translate(lpad(cast(p_partkey % {step} AS varchar), 3, '0'), '0123456789', 'ABCDEFGHIJ'), p_type),
+      '[^A-Za-z]', '', 'g'))"""
+
+
+ORACLES["hot_key_marking"] = f"""WITH i AS (SELECT p_partkey AS row_pos, {hot_text(997)} AS t FROM part),
+  s AS (SELECT DISTINCT {hot_text(89)} AS t FROM part WHERE p_size = 7),
+  u AS (SELECT t, min(row_pos) AS first FROM i GROUP BY t),
+  near(a, b) AS (SELECT u.t, v.t FROM u JOIN (SELECT t FROM u UNION SELECT t FROM s) v
+    ON u.t = v.t OR (abs(length(u.t) - length(v.t)) * 10 <= greatest(length(u.t), length(v.t))
+      AND levenshtein(u.t, v.t) * 10 <= greatest(length(u.t), length(v.t)))),
+  e AS (SELECT DISTINCT a AS t FROM near JOIN s ON s.t = near.b),
+  f AS (SELECT a AS t, min(first) AS earliest FROM near JOIN u ON u.t = near.b GROUP BY a)
+  SELECT row_pos, CASE WHEN e.t IS NOT NULL THEN 'EXISTING_TRANSACTION'
+    WHEN f.earliest < row_pos THEN 'IN_BATCH' END AS duplicate_reason
+  FROM i JOIN f USING (t) LEFT JOIN e USING (t)"""

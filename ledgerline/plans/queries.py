@@ -17,7 +17,7 @@ from ..operators.criteria import Criteria, active, criteria_filter, id_set, scop
 from ..operators.importing import import_batch
 from ..session import materialize, new_step_folder
 from ..sources import chunks as C
-from ..sources import csv_statements, files, line_layouts, preview, revisions, text_tables, two_column
+from ..sources import csv_splits, csv_statements, files, line_layouts, preview, revisions, text_tables, two_column
 from . import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -298,6 +298,29 @@ def preview_marking(spark, sf_dir):
     return marked.select("owner_id", "row_pos", "duplicate", "duplicate_reason")
 
 
+HOT_TEXT = """concat('CARD PAYMENT SIAM MALL ', p_name, ' ', translate(lpad(cast(p_partkey % {step} AS string), 3, '0'),
+    '0123456789', 'ABCDEFGHIJ'), ' ', p_type)"""
+
+
+@query
+def hot_key_marking(spark, sf_dir):
+    """All parts as rows of one batch and one key: long boilerplate, no digits, names that differ by letters."""
+    parts = S.table(spark, sf_dir, "part")
+    key = [
+        "'usr_0' AS owner_id", "'Siam Bank' AS bank_name", "date'2024-01-01' AS date",
+        "cast(10 AS decimal(38,2)) AS amount", "'DEBIT' AS type", "'THB' AS currency_iso_code",
+    ]
+    incoming = parts.selectExpr(
+        *key, "'b' AS batch_id", "p_partkey AS row_pos", f"{HOT_TEXT.format(step=997)} AS description",
+        "false AS allow_duplicate",
+    )
+    stored = parts.where("p_size = 7").selectExpr(
+        *key, "p_partkey AS id", f"{HOT_TEXT.format(step=89)} AS description", "false AS deleted"
+    )
+    marked = dedup.mark_duplicates(incoming, stored)
+    return marked.select("row_pos", "duplicate_reason")
+
+
 @query
 def batch_accept(spark, sf_dir):
     return dedup.accept_batch(S.incoming(spark, sf_dir), S.transactions(spark, sf_dir)).select(
@@ -727,12 +750,12 @@ def config_audit(spark, sf_dir):
 
 @query
 def currency_codes(spark, sf_dir):
-    """Every code of three letters, as far as the order keys go round."""
+    """Every code of three letters: order keys give the first two, each with all last letters."""
     letter = lambda place: f"char(97 + o_orderkey div {place} % 26)"
-    codes = S.table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey", f"concat({letter(676)}, {letter(26)}, {letter(1)}) AS code"
-    )
-    return codes.select("o_orderkey", "code", quality.known_currency(F.col("code")).alias("known"))
+    starts = S.table(spark, sf_dir, "orders").selectExpr(f"concat({letter(26)}, {letter(1)}) AS start")
+    codes = starts.selectExpr("start", "explode(sequence(0, 25)) AS n").selectExpr("concat(start, char(97 + n)) AS code")
+    used = codes.groupBy("code").agg(F.count("*").alias("orders"))
+    return used.select("code", "orders", quality.known_currency(F.col("code")).alias("known"))
 
 
 # -- statements --------------------------------------------------------------------------------
@@ -756,6 +779,22 @@ def csv_statement_roundtrip(spark, sf_dir):
     return chosen.withColumn("amount", F.col("amount").cast("decimal(38,2)")).drop("parser_revision_id")
 
 
+def _large_lines(spark, path: str) -> DataFrame:
+    layout = F.regexp_extract("path", r"/layout=(\d+)/", 1)
+    return csv_splits.read_csv_lines(spark, path, F.concat(F.lit("big-"), layout))
+
+
+@query
+def csv_large_files(spark, sf_dir):
+    """All orders in three files, read by splits: rows of files larger than a task."""
+    path, uploads = S.large_csv_files(spark, sf_dir, 3653)
+    rows, attempts = csv_splits.parse_csv_splits(
+        _large_lines(spark, path), uploads, *S.csv_catalogue(spark), S.LATER
+    )
+    chosen = revisions.selected_rows(rows, attempts)
+    return chosen.withColumn("amount", F.col("amount").cast("decimal(38,2)")).drop("parser_revision_id")
+
+
 @query
 def file_preview(spark, sf_dir):
     """CSV and card statements of all users previewed in one job, against stored transactions."""

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import by_key
+from ..session import by_key, new_step_folder
 
 AS_OF = dt.date(2001, 1, 1)
 VIEW_AS_OF = dt.date(2000, 6, 30)
@@ -272,9 +272,23 @@ def csv_catalogue(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 CSV_ROWS_PER_FILE = 50
 
 
-def csv_files(spark: SparkSession, sf_dir: str, shift_days: int) -> DataFrame:
-    """CSV statement files of 50 orders each, in three layouts: file_id, filename, content, ..."""
-    orders = by_key(table(spark, sf_dir, "orders"), "o_orderkey").selectExpr(
+CSV_LINE = """CASE n % 3
+    WHEN 0 THEN concat_ws(',', date_format(d, 'dd/MM/yy'), concat('Order ', k, ' ', p),
+      if(debit, format_string('%.2f', a), ''), if(debit, '', format_string('%.2f', a)))
+    WHEN 1 THEN concat_ws(',', date_format(d, 'MM/dd/yyyy'),
+      concat('"Order, ""', k, '"" ', if(k % 9 = 0, '\\nline two', 'one line'), '"'),
+      concat('"$', format_number(a, 2), '"'), if(debit, 'Withdrawal', ' credit '), p)
+    ELSE concat_ws(',', if(k % 5 = 0, date_format(d, 'd MMM yyyy'),
+      concat(date_format(d, 'd MMM yyyy'), ' 14:05')), concat('Order ', k),
+      if(debit, '', format_string('%.2f', a)), if(debit, format_string('%.2f', a), '')) END"""
+
+CSV_HEADER = """CASE n % 3 WHEN 0 THEN 'Date,Particulars,Withdrawal,Deposit'
+    WHEN 1 THEN 'Transaction Date,Transaction Description,Transaction Amount,Transaction Type,Category'
+    ELSE 'Posted,Memo,Credit,Debit' END"""
+
+
+def _csv_orders(spark: SparkSession, sf_dir: str, shift_days: int) -> DataFrame:
+    return by_key(table(spark, sf_dir, "orders"), "o_orderkey").selectExpr(
         f"o_orderkey div {CSV_ROWS_PER_FILE} AS n",
         "o_orderkey AS k",
         f"date_add(cast(o_orderdate AS date), {shift_days}) AS d",
@@ -282,23 +296,16 @@ def csv_files(spark: SparkSession, sf_dir: str, shift_days: int) -> DataFrame:
         "o_orderstatus = 'F' AS debit",
         "o_orderpriority AS p",
     )
-    line = """CASE n % 3
-        WHEN 0 THEN concat_ws(',', date_format(d, 'dd/MM/yy'), concat('Order ', k, ' ', p),
-          if(debit, format_string('%.2f', a), ''), if(debit, '', format_string('%.2f', a)))
-        WHEN 1 THEN concat_ws(',', date_format(d, 'MM/dd/yyyy'),
-          concat('"Order, ""', k, '"" ', if(k % 9 = 0, '\\nline two', 'one line'), '"'),
-          concat('"$', format_number(a, 2), '"'), if(debit, 'Withdrawal', ' credit '), p)
-        ELSE concat_ws(',', if(k % 5 = 0, date_format(d, 'd MMM yyyy'),
-          concat(date_format(d, 'd MMM yyyy'), ' 14:05')), concat('Order ', k),
-          if(debit, '', format_string('%.2f', a)), if(debit, format_string('%.2f', a), '')) END"""
-    header = """CASE n % 3 WHEN 0 THEN 'Date,Particulars,Withdrawal,Deposit'
-        WHEN 1 THEN 'Transaction Date,Transaction Description,Transaction Amount,Transaction Type,Category'
-        ELSE 'Posted,Memo,Credit,Debit' END"""
+
+
+def csv_files(spark: SparkSession, sf_dir: str, shift_days: int) -> DataFrame:
+    """CSV statement files of 50 orders each, in three layouts: file_id, filename, content, ..."""
+    orders = _csv_orders(spark, sf_dir, shift_days)
     files = (
-        orders.withColumn("line", F.expr(line))
+        orders.withColumn("line", F.expr(CSV_LINE))
         .groupBy("n")
         .agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("rows"))
-        .withColumn("header", F.expr(header))
+        .withColumn("header", F.expr(CSV_HEADER))
     )
     return files.selectExpr(
         "concat('csv-', n) AS file_id",
@@ -310,6 +317,23 @@ def csv_files(spark: SparkSession, sf_dir: str, shift_days: int) -> DataFrame:
     )
 
 
+def large_csv_files(spark: SparkSession, sf_dir: str, shift_days: int) -> tuple[str, DataFrame]:
+    """A folder with one CSV file a layout, all orders in them, and the table of the files (no content)."""
+    orders = _csv_orders(spark, sf_dir, shift_days).selectExpr("n % 3 AS n", "k", f"{CSV_LINE} AS line")
+    heads = spark.range(3).selectExpr("id AS n").selectExpr("n", "-1L AS k", f"{CSV_HEADER} AS line")
+    path = new_step_folder(spark)
+    rows = orders.unionByName(heads).withColumn("layout", F.col("n"))
+    rows = rows.repartition("layout").sortWithinPartitions("layout", "k")
+    rows.select("layout", "line").write.partitionBy("layout").text(path)
+    files = spark.range(3).selectExpr(
+        "concat('big-', id) AS file_id",
+        "concat('Statement-', id, '.csv') AS filename",
+        "id + 1 AS statement_format_id",
+        "concat('acct-', id) AS account_id",
+    )
+    return path, files
+
+
 def preview_catalogue(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Formats for the preview: for all, for one user, and disabled; with served and unserved revisions."""
     formats, revisions = csv_catalogue(spark)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,19 +40,44 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra) -
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables, the one that ``DataFrame.checkpoint`` writes to.
 
-    It is the shared folder that ``spark.checkpoint.dir`` names, on every master. Only where that is
-    unset, as in tests, one is made up.
+    It is the shared folder that ``spark.checkpoint.dir`` names, on every master. Where that is unset, a
+    session whose executors run in the driver, as in tests, gets one of its own; any other raises an
+    error, because its executors share no local folder.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="ledgerline-checkpoint-"))
     return context.getCheckpointDir()
 
 
+_steps: list[str] = []
+
+
 def new_step_folder(spark: SparkSession) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{ensure_checkpoint_dir(spark)}/step-{uuid.uuid4().hex}"
+    _steps.append(f"{ensure_checkpoint_dir(spark)}/step-{uuid.uuid4().hex}")
+    return _steps[-1]
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """Steps written inside the block go when it ends, so results must have been read or written by then.
+
+    Outside any block, steps stay as long as the shared folder: a lazy result may still read them.
+    """
+    first = len(_steps)
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        settings = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _steps[first:]:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(settings).delete(folder, True)
+        del _steps[first:]
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -57,7 +85,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Later steps that use the result several times read it instead of computing it again, the plan
     stays small, the planner knows the true size, and the loss of executors costs nothing. Results
-    built on a step read it when they run, so steps go with the folder of the session.
+    built on a step read it when they run; ``steps`` bounds how long it stays.
     """
     spark = df.sparkSession
     path = new_step_folder(spark)
