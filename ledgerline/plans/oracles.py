@@ -851,6 +851,7 @@ ORACLES["file_preview"] = """WITH o AS (SELECT o_orderkey AS k,
   sheets AS (SELECT k // 50 AS n, count(*) AS c, count(*) FILTER (k % 5 = 0) AS twice, sum(amount) AS total
     FROM o GROUP BY 1),
   cards AS (SELECT k // 30 AS n, count(*) AS c, sum(amount) AS total FROM o GROUP BY 1),
+  sheets20 AS (SELECT k // 20 AS n, count(*) AS c, sum(amount) AS total FROM o GROUP BY 1),
   s AS (SELECT *, n % 3 = 0 OR (n % 3 = 1 AND n % 2 = 0) AS usable FROM sheets)
   SELECT concat('csv-', cast(n AS varchar)) AS file_id,
     CASE WHEN usable THEN 'MATCHED' ELSE 'STATEMENT_FORMAT_NOT_FOUND' END AS status,
@@ -859,8 +860,12 @@ ORACLES["file_preview"] = """WITH o AS (SELECT o_orderkey AS k,
     CASE WHEN usable THEN c ELSE 0 END AS rows,
     CASE WHEN n % 3 = 0 THEN twice ELSE 0 END AS duplicates,
     CASE WHEN usable THEN cast(total AS double) END AS total, n % 3 = 0 AS already_imported FROM s
-  UNION ALL SELECT concat('card-', cast(n AS varchar)), 'MATCHED', 41, 3, c, 0, cast(total AS double), false
-  FROM cards"""
+  UNION ALL SELECT concat(kind, '-', cast(n AS varchar)), 'MATCHED', revision, attempts, c, 0,
+    cast(total AS double), false FROM cards,
+    (VALUES ('card', 41, 3), ('bank', 43, 3), ('year', 71, 1)) AS v(kind, revision, attempts)
+  UNION ALL SELECT concat('two-', cast(n AS varchar)), 'MATCHED', 72, 1, c, 0, cast(total AS double), false FROM sheets20
+  UNION ALL SELECT concat('tab-', cast(n AS varchar)), 'MATCHED', 81 + n % 2, 2, c, 0, cast(total AS double), false
+  FROM sheets20"""
 
 
 def hot_text(step: int) -> str:

@@ -797,21 +797,23 @@ def csv_large_files(spark, sf_dir):
 
 @query
 def file_preview(spark, sf_dir):
-    """CSV and card statements of all users previewed in one job, against stored transactions."""
-    sheets = S.csv_files(spark, sf_dir, 3653)
-    lines = materialize(S.card_monthly_lines(spark, sf_dir))
-    number = F.regexp_extract("file_id", "([0-9]+)", 1).cast("bigint")
-    cards = lines.select("file_id", "filename").distinct().select(
-        "file_id", "filename", F.lit(None).cast("binary").alias("content"),
-        F.lit(4).cast("bigint").alias("statement_format_id"),
+    """Statements of every kind (CSV, card, bank, yearly, two columns, text tables) of all users previewed in one
+    job, against stored transactions. Files are known by a hash of what is in them."""
+    sheets = S.csv_files(spark, sf_dir, 3653).withColumn("content_hash", F.sha2("content", 256))
+    lines = S.card_monthly_lines(spark, sf_dir).unionByName(S.bank_monthly_lines(spark, sf_dir))
+    lines = materialize(lines.unionByName(S.card_yearly_lines(spark, sf_dir)))
+    chunks = materialize(S.two_column_chunks(spark, sf_dir).unionByName(S.table_chunks(spark, sf_dir)))
+    kind, number = F.substring_index("file_id", "-", 1), F.regexp_extract("file_id", "([0-9]+)", 1).cast("bigint")
+    said = lines.select("file_id", F.struct("page", F.col("line_no").cast("double").alias("at"), F.lit(0.0).alias("x"), "text").alias("t"))
+    said = said.unionByName(chunks.select("file_id", F.struct("page", F.col("y").cast("double").alias("at"), F.col("start_x").cast("double").alias("x"), "text").alias("t")))
+    texts = said.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list("t"))["text"], "\n").alias("t"))
+    others = texts.select(
+        "file_id", F.concat("file_id", F.lit(".pdf")).alias("filename"), F.lit(None).cast("binary").alias("content"),
+        F.when(kind.isin("card", "bank"), 4).when(kind == "year", 5).when(kind == "two", 6).otherwise(7).cast("bigint").alias("statement_format_id"),
         F.concat(F.lit("acct-"), number).alias("account_id"),
+        F.sha2(F.col("t").cast("binary"), 256).alias("content_hash"),
     )
-    uploads = sheets.unionByName(cards).withColumns(
-        {
-            "user_id": F.concat(F.lit("usr_"), (number % 2 + 1).cast("string")),
-            "content_hash": F.sha2(F.col("file_id").cast("binary"), 256),
-        }
-    )
+    uploads = sheets.unionByName(others).withColumn("user_id", F.concat(F.lit("usr_"), (number % 2 + 1).cast("string")))
     stored = S.table(spark, sf_dir, "orders").where("o_orderkey div 50 % 3 = 0 and o_orderkey % 5 = 0").selectExpr(
         "o_orderkey AS id", "concat('usr_', o_orderkey div 50 % 2 + 1) AS owner_id", "'Siam Bank' AS bank_name",
         "date_add(cast(o_orderdate AS date), 3653) AS date", "'THB' AS currency_iso_code",
@@ -819,17 +821,14 @@ def file_preview(spark, sf_dir):
         "if(o_orderstatus = 'F', 'DEBIT', 'CREDIT') AS type",
         "concat('ORDER-', o_orderkey, ' ', o_orderpriority) AS description", "false AS deleted",
     )
-    ledger = S.table(spark, sf_dir, "orders").selectExpr("o_orderkey div 150 * 3 AS n").distinct().selectExpr(
-        "sha2(cast(concat('csv-', n) AS binary), 256) AS content_hash",
-        "concat('usr_', n % 2 + 1) AS imported_by", "n AS id", "'old.csv' AS original_filename",
+    earlier = sheets.withColumn("n", number).where("n % 3 = 0")
+    ledger = earlier.selectExpr(
+        "content_hash", "concat('usr_', n % 2 + 1) AS imported_by", "n AS id", "'old.csv' AS original_filename",
         "current_timestamp() AS imported_at", "1 AS statement_format_id", "'a' AS account_id",
         "7 AS transaction_count",
     )
-    none = spark.createDataFrame(
-        [], "file_id string, page int, start_x float, end_x float, y float, text string"
-    )
     found = preview.preview_files(
-        uploads, lines, none, *S.preview_catalogue(spark), stored, ledger, S.LATER
+        uploads, lines, chunks, *S.preview_catalogue(spark), stored, ledger, S.LATER
     )
     counted = found.rows.groupBy("file_id").agg(
         F.count("*").alias("rows"), F.count_if("duplicate").alias("duplicates"),

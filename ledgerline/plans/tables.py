@@ -334,6 +334,18 @@ def large_csv_files(spark: SparkSession, sf_dir: str, shift_days: int) -> tuple[
     return path, files
 
 
+_SIGNED_CONFIG = (
+    '{"fileType":"TEXT_PDF","headerMustContain":["Date","Amount"],"minimumRows":2,'
+    '"dateHeader":"Transaction Date","dateFormat":"MMM d","descriptionHeader":"Description",'
+    '"amountHeader":"Amount","negativeMeans":"CREDIT","yearSource":"STATEMENT_PERIOD"}'
+)
+_SPLIT_CONFIG = (
+    '{"fileType":"TEXT_PDF","headerMustContain":["Memo"],"minimumRows":1,'
+    '"dateHeader":"Date","dateFormat":"dd/MM/uuuu","descriptionHeader":"Memo",'
+    '"debitHeader":"Debit","creditHeader":"Credit","yearSource":"EXPLICIT_DATE"}'
+)
+
+
 def preview_catalogue(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Formats for the preview: for all, for one user, and disabled; with served and unserved revisions."""
     formats, revisions = csv_catalogue(spark)
@@ -344,18 +356,25 @@ def preview_catalogue(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
             "enabled": F.col("id") != 3,
         }
     )
-    cards = spark.createDataFrame(
-        [(4, "PDF", "Capital One", "USD", True, "SYSTEM", None)], scoped.schema
-    )
-    static = spark.createDataFrame(
-        [
-            (41, 4, 1, "STATIC_HANDLER", "capital-one-credit-monthly-statement", None, 0, True),
-            (42, 4, 2, "STATIC_HANDLER", "no-such-handler", None, 5, True),
-            (43, 4, 3, "STATIC_HANDLER", "capital-one-bank-monthly-statement", None, 9, True),
-        ],
-        revisions.schema,
+    texts = spark.createDataFrame(
+        [(i, "PDF", bank, code, True, "SYSTEM", None) for i, bank, code in PREVIEW_TEXT_FORMATS], scoped.schema
     )
-    return scoped.unionByName(cards), revisions.unionByName(static)
+    static = spark.createDataFrame(PREVIEW_TEXT_REVISIONS, revisions.schema)
+    return scoped.unionByName(texts), revisions.unionByName(static)
+
+
+PREVIEW_TEXT_FORMATS = [
+    (4, "Capital One", "USD"), (5, "Capital One", "USD"), (6, "Bangkok Bank", "THB"), (7, "Table Bank", "USD"),
+]
+PREVIEW_TEXT_REVISIONS = [
+    (41, 4, 1, "STATIC_HANDLER", "capital-one-credit-monthly-statement", None, 0, True),
+    (42, 4, 2, "STATIC_HANDLER", "no-such-handler", None, 5, True),
+    (43, 4, 3, "STATIC_HANDLER", "capital-one-bank-monthly-statement", None, 9, True),
+    (71, 5, 1, "STATIC_HANDLER", "capital-one-credit-yearly-statement", None, 0, True),
+    (72, 6, 1, "STATIC_HANDLER", "bkk-bank-statement-pdf", None, 0, True),
+    (81, 7, 1, "PDF_TEXT_TABLE_CONFIG", None, _SIGNED_CONFIG, 0, True),
+    (82, 7, 2, "PDF_TEXT_TABLE_CONFIG", None, _SPLIT_CONFIG, 0, True),
+]
 
 
 LINES_PER_FILE = 30
@@ -557,16 +576,6 @@ def two_column_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TABLE_FORMATS = [(1, "PDF", "Table Bank", "USD", True), (2, "PDF", "Column Bank", "EUR", True)]
-_SIGNED_CONFIG = (
-    '{"fileType":"TEXT_PDF","headerMustContain":["Date","Amount"],"minimumRows":2,'
-    '"dateHeader":"Transaction Date","dateFormat":"MMM d","descriptionHeader":"Description",'
-    '"amountHeader":"Amount","negativeMeans":"CREDIT","yearSource":"STATEMENT_PERIOD"}'
-)
-_SPLIT_CONFIG = (
-    '{"fileType":"TEXT_PDF","headerMustContain":["Memo"],"minimumRows":1,'
-    '"dateHeader":"Date","dateFormat":"dd/MM/uuuu","descriptionHeader":"Memo",'
-    '"debitHeader":"Debit","creditHeader":"Credit","yearSource":"EXPLICIT_DATE"}'
-)
 TABLE_REVISIONS = [(51, 1, 1, _SIGNED_CONFIG), (61, 2, 1, _SPLIT_CONFIG)]
 
 
