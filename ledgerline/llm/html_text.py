@@ -16,6 +16,8 @@ A null page gives null, an empty one an empty text. Ids may be null or repeated;
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -53,7 +55,8 @@ ENDS_PARAGRAPH = BLOCKS - frozenset("body html option optgroup li dt dd tr tbody
 KEEPS_PARAGRAPH = frozenset("table td th li dd dt button caption".split())
 
 DEEPEST = 100
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile("['\">]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _INVISIBLE = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(visible|initial|hidden|collapse)", re.I)
@@ -67,6 +70,52 @@ class Element:
     children: list[Element | str] = field(default_factory=list)
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """``start, end, slash, name, attributes`` of every tag, with an empty name for comments and declarations.
+
+    A tag ends at the first ``>`` outside quotes; without one it is text. A quote that leads to no end is remembered, and
+    no search passes it a second time, so the work is linear in the page whatever stands in it. Sending a number goes on
+    from that place.
+    """
+    special = [m.start() for m in _SPECIAL.finditer(page)]
+    last, dead, at = page.rfind(">"), set(), 0
+
+    def end_of_tag(start: int) -> int:
+        passed, i = [], bisect_left(special, start)
+        while i < len(special) and special[i] not in dead:
+            place = special[i]
+            if page[place] == ">":
+                return place + 1
+            passed.append(place)
+            closing = page.find(page[place], place + 1)
+            if closing < 0:
+                break
+            i = bisect_left(special, closing + 1)
+        dead.update(passed)
+        return -1
+
+    while (at := page.find("<", at)) >= 0:
+        end, slash, name, attributes = -1, "", "", ""
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+            end = end if end > 2 else len(page)
+        elif at < last:
+            if page[at + 1] in "!?":
+                end = page.find(">", at) + 1
+            elif tag := _NAME.match(page, at):
+                slash, name = tag.groups()
+                if (end := end_of_tag(tag.end())) > 0:
+                    attributes = page[tag.end() : end - 1]
+        if end < 0:
+            at += 1
+            continue
+        moved = yield at, end, slash, name, attributes
+        at = end
+        if moved is not None:
+            at = moved
+            yield at, at, "", "", ""  # what answers the number
+
+
 def parse(page: str) -> tuple[Element, int]:
     """The tree of a page, and how deep it is; whatever is open at its end is closed there."""
     root = Element("#root")
@@ -81,14 +130,15 @@ def parse(page: str) -> tuple[Element, int]:
                 return None
         return None
 
-    while token := _TOKEN.search(page, at):
-        if token.start() > at:
-            stack[-1].children.append(page[at : token.start()])
-        at = token.end()
-        if token[2] is None:
+    found = tokens(page)
+    for start, end, slash, name, said in found:
+        if start > at:
+            stack[-1].children.append(page[at:start])
+        at = end
+        if not name:
             continue
-        name = token[2].lower()
-        if token[1]:
+        name = name.lower()
+        if slash:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].name == name:
                     del stack[depth:]
@@ -108,14 +158,15 @@ def parse(page: str) -> tuple[Element, int]:
                     row = Element("tr")
                     stack[-1].children.append(row)
                     stack.append(row)
-        attributes = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(token[3])} if token[3].strip() else {}
+        attributes = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(said)} if said.strip() else {}
         element = Element(name, attributes)
         stack[-1].children.append(element)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             element.children.append(page[at : end.start() if end else len(page)])
             at = end.end() if end else len(page)
-        elif name not in VOID and not token[3].rstrip().endswith("/"):
+            found.send(at)
+        elif name not in VOID and not said.rstrip().endswith("/"):
             stack.append(element)
             deepest = max(deepest, len(stack))
     stack[-1].children.append(page[at:])

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerline.llm import near_dup, packing, pii, quality, topk
+from ledgerline.llm import html_text, near_dup, packing, pii, quality, topk
 from ledgerline.llm.html_text import page_text, page_texts
 from ledgerline.llm.mixing import poisson_mix
 from ledgerline.llm.queries import ORACLES, QUERIES
@@ -165,3 +165,21 @@ def test_pipeline_stage_by_stage(spark):
     pieces = packing.pieces(mixed, packing.default_tokenizer()).collect()
     assert sorted(tuple(r[:5]) for r in packed.collect()) == sorted(map(tuple, pieces))
     assert packed.count() == corpus_pipeline.run(spark, SF).count()
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a '\"", "<!", "<a b='", "</a ", "<a\"", "< ", "<!-- x"])
+@pytest.mark.parametrize("end", ["", ">", "\">", "'>"])
+def test_unclosed_tags_are_read_in_linear_time(piece, end):
+    import time
+
+    page = piece * (1_000_000 // len(piece)) + end
+    start = time.perf_counter()
+    assert sum(1 for _ in html_text.tokens(page)) <= len(page)
+    assert time.perf_counter() - start < 5
+
+
+def test_a_tag_without_an_end_is_text():
+    assert page_text("a <b c") == "a <b c"
+    assert page_text("<i title='a > b'>c</i> <i x='>") == "c <i x='>"
+    assert page_text("<!DOCTYPE html>a<!-- b > c -->d<?pi?>e<!-->f") == "ade"
+    assert page_text("<script>if (a < b) '</p>'</script>c<title>x") == "c"
