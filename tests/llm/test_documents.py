@@ -515,3 +515,18 @@ def test_swaps_are_bounded_by_hash():
     labels = np.array([i % 2 for i in range(len(texts))])
     one, two = (toxicity.fit(t, y, steps=3, swaps=50) for t, y in ((texts, labels), (texts[::-1], labels[::-1])))
     assert np.allclose(one[0], two[0]) and np.isclose(one[1], two[1])
+
+
+@given(st.text(alphabet="ab1._-+%@ é,", max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_addresses_are_the_matches_of_the_pattern(text):
+    assert list(pii.email_spans(text)) == [m.span() for m in pii._PATTERNS["email"].finditer(text)]
+
+
+def test_long_runs_are_read_in_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for text in ("a" * 1_000_000 + "@", "@" + "a" * 1_000_000, "a@" * 500_000, "a.@b " * 200_000):
+        pii.checked_spans(text)
+    assert time.perf_counter() - start < 10
