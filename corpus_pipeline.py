@@ -41,7 +41,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", packing)]
-#: Most stages cannot be expressed in SQL; the tests hold the pipeline against a brute-force version.
+#: Most stages cannot be expressed in SQL. The tests hold each operator against a brute-force version or held-out labels, and each
+#: stage against its operator.
 ORACLE_SQL = None
 
 

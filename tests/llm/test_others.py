@@ -183,3 +183,28 @@ def test_a_tag_without_an_end_is_text():
     assert page_text("<i title='a > b'>c</i> <i x='>") == "c <i x='>"
     assert page_text("<!DOCTYPE html>a<!-- b > c -->d<?pi?>e<!-->f") == "ade"
     assert page_text("<script>if (a < b) '</p>'</script>c<title>x") == "c"
+
+
+def test_pipeline_on_odd_rows(spark, odd):
+    """Every stage, one after the other: nulls, empty and long texts, repeated rows, clashing columns."""
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, near_dup.staged(stage(spark, docs, SF))
+        assert docs.columns == before.columns
+        rows, kept = before.count(), docs.count()
+        assert kept <= rows or name == "mixing"
+        if name == "near_duplicates":
+            texts = [r["text"] for r in docs.collect()]
+            worded = [" ".join(t.lower().split()) for t in texts if t and t.split()]
+            assert len(worded) == len(set(worded))
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert bool(pieces) == (docs.count() > 0)
+    by_sequence = collections.defaultdict(list)
+    for p in pieces:
+        by_sequence[p["sequence_id"]].append((p["offset"], p["length"]))
+    for own in by_sequence.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
