@@ -470,24 +470,24 @@ ORACLES["format_create"] = """WITH old AS (SELECT
 
 ORACLES["format_create_errors"] = """WITH c AS (SELECT c_custkey AS seq, c_custkey % 5 AS f FROM customer),
   e AS (
-    SELECT seq, 'displayName' AS field, 'Field is required.' AS message FROM c WHERE seq % 17 = 0
-    UNION ALL SELECT seq, 'formatType', 'Format type is required.' FROM c WHERE f = 0
+    SELECT seq, 'displayName' AS field, 'This field needs a value.' AS message FROM c WHERE seq % 17 = 0
+    UNION ALL SELECT seq, 'formatType', 'No format type given.' FROM c WHERE f = 0
     UNION ALL SELECT seq, 'formatType',
-      'Only CSV statement formats can be created through this endpoint.' FROM c WHERE f = 1
+      'A user may add CSV formats only.' FROM c WHERE f = 1
     UNION ALL SELECT seq, 'defaultCurrencyIsoCode',
-      'Default currency ISO code must be a valid ISO 4217 code.' FROM c WHERE seq % 19 = 0
-    UNION ALL SELECT seq, 'dateHeader', 'Field is required.' FROM c WHERE seq % 7 = 0 AND f > 1
-    UNION ALL SELECT seq, 'debitHeader', 'Field is required.' FROM c WHERE f > 1
+      'The default currency is no ISO 4217 code.' FROM c WHERE seq % 19 = 0
+    UNION ALL SELECT seq, 'dateHeader', 'This field needs a value.' FROM c WHERE seq % 7 = 0 AND f > 1
+    UNION ALL SELECT seq, 'debitHeader', 'This field needs a value.' FROM c WHERE f > 1
     UNION ALL SELECT seq, 'scope',
-      'Creating system statement formats requires statementformats:write:any.' FROM c
+      'Formats for all need the permission statementformats:write:any.' FROM c
       WHERE seq % 3 = 0 AND seq % 2 = 1)
   SELECT * FROM e"""
 
 ORACLES["validation_errors"] = f"""{BASE}, inc AS ({INCOMING})
   SELECT owner_id, row_pos, 'date' AS field, concat('Transaction date ', cast(date AS varchar),
     CASE WHEN year(date) < 2000
-      THEN ' is before year 2000. Transactions before 2000 are not supported.'
-      ELSE ' is more than 1 day in the future. Future-dated transactions are not allowed.' END)
+      THEN ' is too early: the first accepted day is 2000-01-01.'
+      ELSE ' is too late: it lies more than a day ahead.' END)
     AS message, cast(date AS varchar) AS value
   FROM inc WHERE year(date) < 2000 OR date > DATE '2001-01-02'"""
 
@@ -505,26 +505,26 @@ ORACLES["required_fields"] = f"""{BASE}, inc AS ({INCOMING}),
 
 ORACLES["config_audit"] = """WITH c AS (SELECT c_custkey AS id, c_custkey % 2 = 0 AS signed,
     c_custkey % 7 = 0 AS deb, c_custkey % 8 < 3 AS cred FROM customer), r AS (
-  SELECT id, 'fileType' AS field, 'Only text-based PDF parser configurations are supported.' AS message
+  SELECT id, 'fileType' AS field, 'A table configuration reads text of PDF files only.' AS message
     FROM c WHERE id % 23 = 0
-  UNION ALL SELECT id, 'headerMustContain', 'At least one required table header token is required.'
+  UNION ALL SELECT id, 'headerMustContain', 'Name one header word or more.'
     FROM c WHERE id % 4 = 0
-  UNION ALL SELECT id, 'headerMustContain', 'Required table header tokens must not be blank.'
+  UNION ALL SELECT id, 'headerMustContain', 'A header word is blank.'
     FROM c WHERE id % 4 = 1
-  UNION ALL SELECT id, 'minimumRows', 'Minimum rows must be at least one.' FROM c WHERE id % 3 = 0
-  UNION ALL SELECT id, 'dateHeader', 'Field is required.' FROM c WHERE id % 5 = 0
-  UNION ALL SELECT id, 'dateFormat', 'Date format is not supported by the PDF text-table parser.'
+  UNION ALL SELECT id, 'minimumRows', 'The least number of rows is one.' FROM c WHERE id % 3 = 0
+  UNION ALL SELECT id, 'dateHeader', 'This field needs a value.' FROM c WHERE id % 5 = 0
+  UNION ALL SELECT id, 'dateFormat', 'Text tables do not read this date pattern.'
     FROM c WHERE id % 6 = 0
-  UNION ALL SELECT id, 'dateFormat', 'Field is required.' FROM c WHERE id % 6 = 1
+  UNION ALL SELECT id, 'dateFormat', 'This field needs a value.' FROM c WHERE id % 6 = 1
   UNION ALL SELECT id, 'amountHeader',
-    'Use either a signed amount column or separate debit and credit columns.'
+    'A signed amount and debit or credit columns exclude each other.'
     FROM c WHERE signed AND (deb OR cred)
   UNION ALL SELECT id, 'negativeMeans',
-    'A signed amount column requires a type header or negative amount direction.'
+    'A signed amount needs a type column, or what a minus sign means.'
     FROM c WHERE signed AND NOT (deb OR cred) AND id % 10 <> 0 AND id % 9 <> 0
-  UNION ALL SELECT id, 'debitHeader', 'Field is required.' FROM c WHERE NOT signed AND NOT deb
-  UNION ALL SELECT id, 'creditHeader', 'Field is required.' FROM c WHERE NOT signed AND NOT cred
-  UNION ALL SELECT id, 'yearSource', 'Year source is required.' FROM c WHERE id % 11 = 0)
+  UNION ALL SELECT id, 'debitHeader', 'This field needs a value.' FROM c WHERE NOT signed AND NOT deb
+  UNION ALL SELECT id, 'creditHeader', 'This field needs a value.' FROM c WHERE NOT signed AND NOT cred
+  UNION ALL SELECT id, 'yearSource', 'No year source given.' FROM c WHERE id % 11 = 0)
   SELECT * FROM r"""
 
 # The codes stand in one place only, as three lists of fixed values.
@@ -601,12 +601,10 @@ ORACLES["csv_large_files"] = f"""WITH o AS ({csv_rows(3653)}),
 ORACLES["csv_file_status"] = f"""WITH r0 AS ({csv_rows(0)}),
   r AS (SELECT *, CASE WHEN n % 3 = 0 THEN make_date(2000 + year(d) % 100, month(d), day(d)) ELSE d END
     AS told FROM r0),
-  e AS (SELECT *, CASE WHEN year(told) < 2000 THEN concat('Transaction date ''', cast(told AS varchar),
-      ''' at line ', cast(row_pos AS varchar), ' is prior to year 2000. Transactions before 2000 are',
-      ' not supported due to EUR exchange rate limitations and 2-digit year format ambiguity.')
-    WHEN told > DATE '2001-01-02' THEN concat('Transaction date ''', cast(told AS varchar),
-      ''' at line ', cast(row_pos AS varchar), ' is more than 1 day in the future. Future-dated',
-      ' transactions are not allowed to prevent data entry errors.') END AS err FROM r),
+  e AS (SELECT *, CASE WHEN year(told) < 2000 THEN concat('Date ''', cast(told AS varchar),
+      ''' at line ', cast(row_pos AS varchar), ' lies before 2000-01-01, the first accepted day.')
+    WHEN told > DATE '2001-01-02' THEN concat('Date ''', cast(told AS varchar),
+      ''' at line ', cast(row_pos AS varchar), ' lies more than a day ahead.') END AS err FROM r),
   g AS (SELECT n, count(*) AS rows, arg_min(err, row_pos) FILTER (err IS NOT NULL) AS err
     FROM e GROUP BY n)
   SELECT concat('csv-', cast(n AS varchar)) AS file_id, n % 3 * 10 + 11 AS parser_revision_id,
@@ -777,10 +775,10 @@ ORACLES["mapping_preview"] = f"""WITH r AS ({csv_rows(3653)})
   FROM r GROUP BY n"""
 
 ORACLES["mapping_audit"] = """WITH f AS (SELECT DISTINCT o_orderkey // 50 AS n FROM orders),
-  r(k, field, message) AS (VALUES (4, 'bankName', 'Bank name is required.'),
-    (5, 'defaultCurrencyIsoCode', 'Default currency ISO code must be a valid ISO 4217 code.'),
-    (6, 'mapping.dateColumn', 'Column does not exist in the CSV header row.'),
-    (7, 'mapping.dateFormat', 'Date format is not supported by the CSV wizard.'))
+  r(k, field, message) AS (VALUES (4, 'bankName', 'No bank name given.'),
+    (5, 'defaultCurrencyIsoCode', 'The default currency is no ISO 4217 code.'),
+    (6, 'mapping.dateColumn', 'The file has no such column.'),
+    (7, 'mapping.dateFormat', 'CSV files are not read by this date pattern.'))
   SELECT concat('csv-', cast(n AS varchar)) AS file_id, field, message FROM f JOIN r ON n % k = 0"""
 
 ORACLES["table_ranking"] = """WITH f0 AS (SELECT o_orderkey // 20 AS n, count(*) AS c
@@ -802,7 +800,7 @@ ORACLES["table_ranking"] = """WITH f0 AS (SELECT o_orderkey // 20 AS n, count(*)
     CASE WHEN n % 2 = 1 THEN 'Debit' END AS debit_header,
     CASE WHEN n % 2 = 1 THEN 'Credit' END AS credit_header,
     CASE WHEN n % 2 = 0 AND neg THEN 'CREDIT' END AS negative_means,
-    CASE WHEN n % 2 = 0 AND NOT neg THEN 'Signed amount direction could not be inferred; confirm whether negative amounts are credits or debits.'
+    CASE WHEN n % 2 = 0 AND NOT neg THEN 'It is open what a minus sign of the signed amount means, a credit or a debit.'
       ELSE '' END AS rejection_reasons
   FROM f"""
 
@@ -843,7 +841,7 @@ ORACLES["table_analysis"] = """SELECT concat('tab-', cast(o_orderkey // 20 AS va
     CASE WHEN o_orderkey // 20 % 2 = 0 THEN 0.99::double ELSE 0.97::double END AS confidence,
     NULL::varchar AS rejection_reason FROM orders GROUP BY o_orderkey // 20
   UNION ALL SELECT concat('none-', cast(c_custkey AS varchar)), 0::double,
-    'PDF does not contain enough extractable text. Scanned or OCR-dependent PDFs are not supported.'
+    'There is too little text in the file; scans are not read.'
   FROM customer"""
 
 ORACLES["file_preview"] = """WITH o AS (SELECT o_orderkey AS k,
