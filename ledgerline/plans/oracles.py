@@ -487,7 +487,7 @@ ORACLES["validation_errors"] = f"""{BASE}, inc AS ({INCOMING})
   SELECT owner_id, row_pos, 'date' AS field, concat('Transaction date ', cast(date AS varchar),
     CASE WHEN year(date) < 2000
       THEN ' is too early: the first accepted day is 2000-01-01.'
-      ELSE ' is too late: it lies more than a day ahead.' END)
+      ELSE ' is too late: it lies more than a day in the future.' END)
     AS message, cast(date AS varchar) AS value
   FROM inc WHERE year(date) < 2000 OR date > DATE '2001-01-02'"""
 
@@ -602,7 +602,7 @@ ORACLES["csv_file_status"] = f"""WITH r0 AS ({csv_rows(0)}),
   r AS (SELECT *, CASE WHEN n % 3 = 0 THEN make_date(2000 + year(d) % 100, month(d), day(d)) ELSE d END
     AS told FROM r0),
   e AS (SELECT *, CASE WHEN year(told) < 2000 THEN concat('Date ''', cast(told AS varchar),
-      ''' at line ', cast(row_pos AS varchar), ' lies before 2000-01-01, the first accepted day.')
+      ''' at line ', cast(row_pos AS varchar), ' is prior to year 2000, the first that is accepted.')
     WHEN told > DATE '2001-01-02' THEN concat('Date ''', cast(told AS varchar),
       ''' at line ', cast(row_pos AS varchar), ' lies more than a day ahead.') END AS err FROM r),
   g AS (SELECT n, count(*) AS rows, arg_min(err, row_pos) FILTER (err IS NOT NULL) AS err
