@@ -102,15 +102,16 @@ def filed(conditions: DataFrame, facet: DataFrame) -> DataFrame:
     for kind, (low, high, name) in bounds.items():
         fit = within(col(low), col(high), name, True) & (col("gaps") == 0)
         whole = whole.when(col("kind") == kind, (asked == 1) & fit)
+    covered = F.coalesce(whole.otherwise(asked == 1), F.lit(False)).alias("covered")
+    # a condition that no facet fits leaves nothing of its view
+    wanted = (1 + asked - words.cast("int")).alias("_wanted")
+    narrow = pairs.select("view_id", "kind", "value", "n", covered, wanted)
     cost = F.sum("n").over(Window.partitionBy("view_id", "kind"))
     least = F.min(F.struct(col("_cost"), "kind")).over(Window.partitionBy("view_id"))
-    # a condition that no facet fits leaves nothing of its view
-    wanted = 1 + asked - words.cast("int")
     met = F.size(F.collect_set("kind").over(Window.partitionBy("view_id")))
-    chosen = pairs.withColumn("_cost", cost).withColumn("_least", least).withColumn("_met", met == wanted)
-    chosen = chosen.where("kind = _least.kind and _met").drop("_met")
-    gone = [c for c in facet.columns if c not in ("kind", "value", "n")]
-    return chosen.withColumn("covered", F.coalesce(whole.otherwise(asked == 1), F.lit(False))).drop("_cost", "_least", *gone)
+    chosen = narrow.withColumn("_cost", cost).withColumn("_least", least).withColumn("_met", met)
+    chosen = chosen.where("kind = _least.kind and _met = _wanted").select("view_id", "kind", "value", "n", "covered")
+    return conditions.join(chosen, "view_id")
 
 
 def candidate_pairs(owned: DataFrame, views: DataFrame) -> DataFrame:
