@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from ledgerline.session import steps
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -31,9 +32,10 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
 def test_query(spark, duck, name):
-    df = driver.queries()[name](spark, SF)
-    columns = sorted(df.columns)
-    got = sorted(tuple(map(cell, row)) for row in df.select(*columns).collect())
+    with steps(spark):
+        df = driver.queries()[name](spark, SF)
+        columns = sorted(df.columns)
+        got = sorted(tuple(map(cell, row)) for row in df.select(*columns).collect())
     result = duck.execute(driver.oracle_sql()[name])
     names = [c[0] for c in result.description]
     assert sorted(names) == columns
