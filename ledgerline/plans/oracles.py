@@ -81,6 +81,17 @@ ORACLES["search_after"] = f"""{BASE} SELECT id, cast(date AS varchar) AS date FR
   WHERE date < DATE '1999-06-01' OR (date = DATE '1999-06-01' AND id < 5000)
   ORDER BY act.date DESC, id DESC LIMIT 100"""
 
+DEEP = f"""{BASE}, ranked AS (SELECT *, count(*) OVER () AS n,
+    row_number() OVER (ORDER BY description, updated_at DESC NULLS FIRST, id) - 1 AS r FROM act WHERE type = 'DEBIT')"""
+
+ORACLES["deep_page"] = f"""{DEEP} SELECT id, description, {TS.format('updated_at')} FROM ranked
+  WHERE r // 40 = n // 80"""
+
+ORACLES["deep_page_meta"] = f"""{DEEP}, t AS (SELECT count(*) AS n FROM ranked)
+  SELECT n // 80 AS page, 40 AS size, least(40, n - n // 80 * 40) AS number_of_elements,
+    n AS total_elements, cast(ceil(n / 40.0) AS bigint) AS total_pages, n < 80 AS "first",
+    n // 80 + 1 >= ceil(n / 40.0) AS "last" FROM t"""
+
 ORACLES["null_order_sort"] = f"""{BASE}, hit AS (
     SELECT * FROM act ORDER BY updated_at DESC NULLS FIRST, id LIMIT 100)
   SELECT id, owner_id, {TS.format('updated_at')} FROM hit"""
@@ -822,6 +833,17 @@ ORACLES["patch_errors"] = """SELECT doc_id AS seq,
 ORACLES["transaction_sink"] = f"""{BASE} SELECT id, year(date) AS year, owner_id,
     cast(amount AS double) AS amount, description FROM tx"""
 
+ORACLES["stored_bulk_delete"] = f"""{DELETES} SELECT tx.id, tx.deleted OR ok.pos IS NOT NULL AS deleted,
+    ok.actor AS deleted_by, CASE WHEN year(date) <> 1997 THEN true END AS file_kept
+  FROM tx LEFT JOIN ok ON tx.id = ok.transaction_id AND rn = 1 AND year(date) = 1997"""
+
+ORACLES["stored_patch_apply"] = f"""{PATCHES}, f AS (SELECT transaction_id,
+    arg_max(d, seq) FILTER (d IS NOT NULL) AS d, arg_max(acc, seq) FILTER (acc IS NOT NULL) AS acc
+    FROM ok GROUP BY transaction_id)
+  SELECT id, coalesce(d, description) AS description, coalesce(acc, account_id) AS account_id,
+    CASE WHEN year(date) <> 1997 THEN true END AS file_kept
+  FROM tx LEFT JOIN f ON id = transaction_id AND year(date) = 1997"""
+
 ORACLES["imported_files"] = """SELECT s_suppkey AS supplier, strlen(s_name) + 1 AS length,
     NULL::varchar AS error, s_suppkey % 6 = 0 AS already_imported,
     CASE WHEN s_suppkey % 6 = 0 THEN s_suppkey + 500 END AS previous_import_id,

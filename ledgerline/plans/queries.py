@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import values as V
-from ..operators import changes, dedup, formats, inference, quality, search, views
+from ..operators import changes, dedup, formats, inference, quality, search, stored_changes, views
 from ..operators.criteria import Criteria, active, criteria_filter, id_set, scope_to_actor
 from ..operators.importing import import_batch
 from ..session import materialize, new_step_folder
@@ -83,6 +83,23 @@ def search_page_meta(spark, sf_dir):
     return search.search_page(S.transactions(spark, sf_dir), c, page=2, size=40)[1]
 
 
+def _middle_page(spark, sf_dir):
+    sort = [("description", "asc"), ("updated_at", "desc")]
+    ranked = search.rank_hits(S.transactions(spark, sf_dir), Criteria(type="DEBIT"), sort)
+    return search.ranked_page(ranked, ranked.total // 80, 40)
+
+
+@query
+def deep_page(spark, sf_dir):
+    """The page in the middle of all debits by description, of which many share one."""
+    return _middle_page(spark, sf_dir)[0].select("id", "description", "updated_at")
+
+
+@query
+def deep_page_meta(spark, sf_dir):
+    return _middle_page(spark, sf_dir)[1]
+
+
 @query
 def search_after(spark, sf_dir):
     return search.search_after(
@@ -547,6 +564,37 @@ def transaction_sink(spark, sf_dir):
     return spark.read.parquet(path).select("id", "year", "owner_id", "amount", "description")
 
 
+def _stored_year(spark, sf_dir, asked, change):
+    """Transactions written by year, then changed where the requests ask for some of 1997, then read back.
+
+    ``file_kept`` is null in 1997; elsewhere it tells whether the row is still in the file it was written to.
+    """
+    path = new_step_folder(spark)
+    tx = S.transactions(spark, sf_dir)
+    changes.append_transactions(tx, path)
+    written = spark.createDataFrame([(name,) for name in stored_changes.stored_files(spark, path)], "file string")
+    ids = tx.where("year(date) = 1997").select(F.col("id").alias("transaction_id"))
+    change(spark, path, asked.join(ids, "transaction_id", "left_semi"))
+    rows = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path"))
+    kept = rows.join(written.withColumn("old", F.lit(True)), "file", "left")
+    return kept.withColumn("file_kept", F.when(F.col("year") != 1997, F.coalesce("old", F.lit(False))))
+
+
+@query
+def stored_bulk_delete(spark, sf_dir):
+    asked = S.delete_requests(spark, sf_dir)
+    new = _stored_year(
+        spark, sf_dir, asked, lambda *where: stored_changes.soft_delete_stored(*where, S.NOW)
+    )
+    return new.select("id", "deleted", "deleted_by", "file_kept")
+
+
+@query
+def stored_patch_apply(spark, sf_dir):
+    new = _stored_year(spark, sf_dir, S.patches(spark, sf_dir), stored_changes.apply_patch_stored)
+    return new.select("id", "description", "account_id", "file_kept")
+
+
 @query
 def imported_files(spark, sf_dir):
     """One small file for each supplier, read back with its earlier import, if any."""

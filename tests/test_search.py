@@ -109,3 +109,38 @@ def test_range_reaches_parquet(spark, tmp_path):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(date,2024-01-02)" in plan and "GreaterThanOrEqual(amount" in plan
     assert "TakeOrderedAndProject" in plan
+
+
+@pytest.mark.parametrize(
+    "sort", [search.DEFAULT_SORT, [("updated_at", "desc"), ("amount", "asc")], [("description", "asc")]]
+)
+def test_ranked_pages_equal_sorted_ones(spark, sort):
+    """Ties, nulls and a description that most rows share; pages inside, across and beyond the ranges."""
+    tx = frame(
+        spark,
+        *[
+            row(
+                i, "hot" if i % 4 else f"d{i}", date=dt.date(2024, 1, 1 + i % 3), amount=Decimal(i % 5),
+                updated_at=T0 if i % 2 else None, deleted=i == 9, type="CREDIT" if i == 7 else "DEBIT",
+            )
+            for i in range(1, 29)
+        ],
+    )
+    c = Criteria(type="DEBIT")
+    ranked = search.rank_hits(tx, c, sort, ranges=5)
+    assert ranked.total == 26 and max(b - a for a, b in zip((0, *ranked.ends), ranked.ends)) < 16
+    for page, size in [(0, 3), (2, 4), (1, 13), (5, 5), (9, 100)]:
+        rows, meta = search.ranked_page(ranked, page, size)
+        plain, plain_meta = search.search_page(tx, c, page, size, sort)
+        assert rows.collect() == plain.collect()
+        assert meta.collect() == plain_meta.collect()
+    keys = search.page_keys(ranked, 0, 3)
+    assert keys.count() == 3 and "_range" in keys.columns and not {"bank_name", "owner_id"} & set(keys.columns)
+
+
+def test_ranked_pages_of_nothing(spark):
+    ranked = search.rank_hits(frame(spark, row(1, deleted=True)), None, ranges=3)
+    rows, meta = search.ranked_page(ranked, 0)
+    assert ranked.total == 0 and rows.collect() == [] and meta.first().total_pages == 0
+    with pytest.raises(ValueError):
+        search.ranked_page(ranked, -1)
