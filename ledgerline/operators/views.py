@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import by_key, materialize
 from .criteria import (
     active,
     id_set,
@@ -120,7 +120,7 @@ def candidate_pairs(owned: DataFrame, views: DataFrame) -> DataFrame:
     Views are a small table next to transactions, so Spark broadcasts them when their size allows; otherwise the
     shuffle join splits what holds much of the data (adaptive skew join).
     """
-    probes = owned.withColumn("_f", F.explode(_facet_values()))
+    probes = by_key(owned, "id").withColumn("_f", F.explode(_facet_values()))
     return probes.join(
         views,
         (F.col("owner_id") == F.col("view_owner"))
@@ -129,8 +129,30 @@ def candidate_pairs(owned: DataFrame, views: DataFrame) -> DataFrame:
     )
 
 
-def _filed(conditions: DataFrame, tx: DataFrame) -> DataFrame:
-    return materialize(filed(conditions.drop("v_pinned", "v_excluded"), facets(_owned(tx))))
+#: What a view asks of transactions; the views of one owner that ask the same are one condition.
+ASKED = [
+    "view_owner", "v_date_from", "v_date_to", "v_min", "v_max", "v_type", "v_accounts", "v_banks", "v_currencies", "v_words",
+]
+
+
+def _distinct_conditions(conditions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, members): each condition of an owner once, known by one of its views (``view_id``), and ``view_id, member``.
+
+    A view whose row comes m times is a member m * m times, as the join of views and facets by id has it.
+    """
+    least = F.min("view_id").over(Window.partitionBy(*ASKED))
+    known = materialize(conditions.select(*ASKED, F.col("view_id").alias("member"), least.alias("view_id")).where("member is not null"))
+    asked = known.where("member = view_id").select("view_id", *ASKED).dropDuplicates(["view_id"])
+    return asked, materialize(known.select("view_id", "member").join(known.select("member"), "member"))
+
+
+def _filed(asked: DataFrame, tx: DataFrame) -> DataFrame:
+    return materialize(filed(by_key(asked, "view_id"), materialize(facets(by_key(_owned(tx), "id")))))
+
+
+def _of_members(counts: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of conditions as rows of each view that asks the same."""
+    return counts.join(members, "view_id").drop("view_id").withColumnRenamed("member", "view_id")
 
 
 def _edits(conditions: DataFrame, tx: DataFrame) -> DataFrame:
@@ -164,9 +186,15 @@ def view_membership(views: DataFrame, tx: DataFrame, as_of: date) -> DataFrame:
     conditions = with_view_conditions(views, as_of)
     edits = _edits(conditions, tx)
     excluded = edits.where("in_x").select("view_id", "transaction_id")
-    pairs = candidate_pairs(_owned(tx), _filed(conditions, tx)).where(F.col("covered") | view_predicate())
-    matched = pairs.select("view_id", F.col("id").alias("transaction_id"))
-    matched = matched.join(excluded, ["view_id", "transaction_id"], "left_anti")
+    asked, members = _distinct_conditions(conditions)
+    # only transactions that some view excludes are compared with the excluded ids; the pairs of all others stay where they are
+    touched = excluded.select(F.col("transaction_id").alias("id"), F.lit(True).alias("_touched")).distinct()
+    owned = _owned(tx).join(touched, "id", "left")
+    pairs = candidate_pairs(owned, _filed(asked, tx)).where(F.col("covered") | view_predicate())
+    every = _of_members(pairs.select("view_id", "id", "_touched"), members).withColumnRenamed("id", "transaction_id")
+    matched = every.where("_touched is null").drop("_touched").unionByName(
+        every.where("_touched").drop("_touched").join(excluded, ["view_id", "transaction_id"], "left_anti")
+    )
     pinned = edits.where("in_p and not in_m").select("view_id", "transaction_id")
     return (
         matched.withColumn("membership", F.lit("MATCHED"))
@@ -182,10 +210,11 @@ def view_counts(views: DataFrame, tx: DataFrame, as_of: date) -> DataFrame:
     take away one each. No (view, transaction) pair of M is ever shuffled.
     """
     conditions = with_view_conditions(views, as_of)
-    index = _filed(conditions, tx)
+    asked, members = _distinct_conditions(conditions)
+    index = _filed(asked, tx)
     known = index.where("covered").groupBy("view_id").agg(F.sum("n").alias("d"))
     tested = candidate_pairs(_owned(tx), index.where("not covered")).where(view_predicate())
-    matched = known.unionByName(tested.groupBy("view_id").agg(F.count("*").alias("d")))
+    matched = _of_members(known.unionByName(tested.groupBy("view_id").agg(F.count("*").alias("d"))), members)
     counted = (F.col("in_m") & ~F.col("in_x")) | F.col("in_p")
     changes = _edits(conditions, tx).groupBy("view_id").agg(
         F.sum(counted.cast("int") - F.col("in_m").cast("int")).alias("d")

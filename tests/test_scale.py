@@ -1,10 +1,20 @@
 """Steps that must spread over tasks, or do less work than all pairs, whatever the size of the bytes."""
 
 import collections
+import datetime as dt
 import os
 import re
 
+from model import distance
+from pyspark.sql import functions as F
+from test_search import frame, row
+
+from ledgerline.operators import similar, views
+from ledgerline.operators.criteria import with_view_conditions
+from ledgerline.operators.similar import _probes as segments
 from ledgerline.plans import tables as S
+from ledgerline.schemas import SAVED_VIEW
+from ledgerline.session import by_key
 
 
 def test_small_files_are_written_by_many_tasks(spark, tmp_path):
@@ -15,3 +25,34 @@ def test_small_files_are_written_by_many_tasks(spark, tmp_path):
     assert sorted(int(at.rsplit("=", 1)[1]) for at, _ in files) == list(range(60))
     by_task = collections.Counter(f.split("-")[1] for _, f in files)
     assert len(by_task) >= 4 and max(by_task.values()) < 30
+
+
+def test_equal_conditions_are_tested_once(spark):
+    criteria = ['{"searchText":"tea"}', '{"type":"DEBIT"}', '{"searchText":"tea"}', None]
+    rows = [(f"v{i}", "u1", "n", c, False, "[]", "[1]" if i == 2 else "[]", None, None) for i, c in enumerate(criteria * 5)]
+    conditions = with_view_conditions(spark.createDataFrame(rows, SAVED_VIEW), dt.date(2024, 5, 1))
+    asked, members = views._distinct_conditions(conditions)
+    assert asked.count() == 3
+    assert sorted(r.member for r in members.collect()) == sorted(r[0] for r in rows)
+    tx = frame(spark, row(1, "tea"), row(2, "coffee"))
+    got = views.view_membership(spark.createDataFrame(rows, SAVED_VIEW), tx, dt.date(2024, 5, 1)).collect()
+    found = {(r.view_id, r.transaction_id): r.membership for r in got}
+    assert found["v0", 1] == "MATCHED" and found["v2", 1] == "EXCLUDED" and found["v6", 1] == "MATCHED"
+    assert ("v4", 2) not in found and found["v3", 2] == "MATCHED"
+
+
+def test_costly_rows_keep_their_tasks(spark):
+    assert by_key(spark.range(10), "id").groupBy("id").count().rdd.getNumPartitions() >= 4
+
+
+def test_a_window_left_out_finds_partners_in_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SALT", 3)
+    probed = []
+    monkeypatch.setattr(similar, "_probes", lambda asking, group: probed.append(asking.select("norm").distinct().count()) or segments(asking, group))
+    texts = [f"CARDPAYMENTSIAMMALL{name}{a}{b}X" for name in ("LARGERING", "OLDPLATE") for a in "ABCDEF" for b in "ABCDEF"]
+    table = spark.createDataFrame([("k", t, "", i) for i, t in enumerate(texts)], "key string, norm string, tokens string, pos long")
+    earlier = F.col("r_pos") < F.col("pos")
+    got = similar.similar_semi_join(table, table, ["key"], earlier)
+    expected = {a for i, a in enumerate(texts) if any(10 * distance(a, b) <= max(len(a), len(b)) for b in texts[:i])}
+    assert {r.norm for r in got.collect()} == expected and len(expected) > 60
+    assert sum(probed) < 10
