@@ -5,10 +5,12 @@ import datetime as dt
 import os
 import re
 
+import numpy as np
 from model import distance
 from pyspark.sql import functions as F
 from test_search import frame, row
 
+from ledgerline.llm import perplexity
 from ledgerline.operators import similar, views
 from ledgerline.operators.criteria import with_view_conditions
 from ledgerline.operators.similar import _probes as segments
@@ -56,3 +58,14 @@ def test_a_window_left_out_finds_partners_in_large_groups(spark, monkeypatch):
     expected = {a for i, a in enumerate(texts) if any(10 * distance(a, b) <= max(len(a), len(b)) for b in texts[:i])}
     assert {r.norm for r in got.collect()} == expected and len(expected) > 60
     assert sum(probed) < 10
+
+
+def test_language_model_tells_all_characters_apart():
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    text = "".join(map(chr, points)).encode()
+    sizes = [1 if p < 128 else 2 if p < 2048 else 3 if p < 65536 else 4 for p in points]
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    found, before = perplexity.codes(np.frombuffer(text, np.uint8), offsets)
+    symbols = (found & 63).astype(np.uint8).tobytes()
+    each = sorted(symbols[a:b] for a, b in zip(before, before[1:]))
+    assert all(each) and not any(b.startswith(a) for a, b in zip(each, each[1:]))
