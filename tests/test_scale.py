@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from test_search import frame, row
 
 from ledgerline.llm import perplexity
-from ledgerline.operators import similar, views
+from ledgerline.functions.text import is_blank, strip
+from ledgerline.operators import importing, inference, similar, views
 from ledgerline.operators.criteria import with_view_conditions
 from ledgerline.operators.similar import _probes as segments
 from ledgerline.plans import tables as S
 from ledgerline.schemas import SAVED_VIEW
-from ledgerline.session import by_key
+from ledgerline.session import by_key, materialize
+from ledgerline.sources import two_column
+from ledgerline.sources.chunks import chunks_to_lines
 
 
 def test_small_files_are_written_by_many_tasks(spark, tmp_path):
@@ -69,3 +72,14 @@ def test_language_model_tells_all_characters_apart():
     symbols = (found & 63).astype(np.uint8).tobytes()
     each = sorted(symbols[a:b] for a, b in zip(before, before[1:]))
     assert all(each) and not any(b.startswith(a) for a, b in zip(each, each[1:]))
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blank_ends_need_no_search_inside_the_text(spark):
+    texts = ["  a" + " " * 3000 + "b　\t", " x ", " \t", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(strip(F.col("t")).alias("s"), is_blank(F.col("t")).alias("b"))
+    assert [tuple(r) for r in df.collect()] == [("a" + " " * 3000 + "b", False), (" x ", False), ("", True), ("", True), (None, True)]
+    assert "regexp" not in plan(df).lower() and "rlike" not in plan(df).lower()
