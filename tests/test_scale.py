@@ -83,3 +83,15 @@ def test_blank_ends_need_no_search_inside_the_text(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(strip(F.col("t")).alias("s"), is_blank(F.col("t")).alias("b"))
     assert [tuple(r) for r in df.collect()] == [("a" + " " * 3000 + "b", False), (" x ", False), ("", True), ("", True), (None, True)]
     assert "regexp" not in plan(df).lower() and "rlike" not in plan(df).lower()
+
+
+def test_lines_are_found_without_a_join(spark):
+    heights = [None, 0.0, -0.0, 1.5, 2.0, 2.5, 3.5, 4.0, 4.5, 9.0, 9.5, float("nan"), float("nan")]
+    rows = [("f", page, float(i), float(i) + 1, y, f"w{i}") for page in (1, 2) for i, y in enumerate(heights)]
+    rows += [(None, 1, 0.0, 1.0, 0.0, "none"), ("f", 1, 50.0, 51.0, 0.0, "  ")]
+    chunks = spark.createDataFrame(rows, "file_id string, page int, start_x float, end_x float, y float, text string")
+    lines = chunks_to_lines(chunks)
+    got = sorted((r.page, r.line_no, [c.text for c in r.chunks]) for r in lines.collect())
+    expected = [(0, ["w0"]), (1, ["w1", "w2", "w3", "w4"]), (2, ["w5", "w6", "w7", "w8"]), (3, ["w9", "w10"]), (4, ["w11", "w12"])]
+    assert got == [(page, no, texts) for page in (1, 2) for no, texts in expected]
+    assert "Join" not in plan(lines)
