@@ -95,3 +95,13 @@ def test_lines_are_found_without_a_join(spark):
     expected = [(0, ["w0"]), (1, ["w1", "w2", "w3", "w4"]), (2, ["w5", "w6", "w7", "w8"]), (3, ["w9", "w10"]), (4, ["w11", "w12"])]
     assert got == [(page, no, texts) for page in (1, 2) for no, texts in expected]
     assert "Join" not in plan(lines)
+
+
+def test_a_head_stands_on_one_row_of_a_file(spark):
+    text = "Date,Memo,Amount\n" + "01/02/2024,tea,1.00\n" * 30
+    rows = [("a", bytearray(text.encode())), ("b", bytearray(b"Date,Memo\n")), ("c", bytearray())]
+    found = inference.csv_rows(spark.createDataFrame(rows, "file_id string, content binary"))
+    counts = {r.file_id: (r.n, r.heads) for r in found.groupBy("file_id").agg(F.count("record").alias("n"), F.count("head").alias("heads")).collect()}
+    assert counts == {"a": (30, 1), "b": (0, 1), "c": (0, 1)}
+    read = spark.createDataFrame([("31/02/2024",)], "v string").select(inference.date_patterns_read(F.col("v")).alias("bits"))
+    assert read.first().bits and "regexp_replace" not in plan(read)
