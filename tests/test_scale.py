@@ -105,3 +105,15 @@ def test_a_head_stands_on_one_row_of_a_file(spark):
     assert counts == {"a": (30, 1), "b": (0, 1), "c": (0, 1)}
     read = spark.createDataFrame([("31/02/2024",)], "v string").select(inference.date_patterns_read(F.col("v")).alias("bits"))
     assert read.first().bits and "regexp_replace" not in plan(read)
+
+
+def test_cells_are_looked_at_once_for_all_kinds(spark):
+    tables = spark.createDataFrame(
+        [("f", 1, 1, 3, ["Date", "What"], [["1/2/2024", "tea"], ["Jan 3", "1.00"], [" ", None]], 3)],
+        "file_id string, page int, start_line int, end_line int, header array<string>, rows array<array<string>>, row_count int",
+    )
+    cells = spark.createDataFrame([(["1/2", "3.50", "(4)", "tea", " ", "2024-01-02", "CR", "jan 3"],)], "v array<string>")
+    shares = cells.select(inference.value_scores(F.col("v"))).first()[0]
+    assert shares.asDict() == {"date": 3 / 7, "amount": 2 / 7, "description": 1 / 7, "type": 1 / 7}
+    ranked = inference.rank_table_candidates(tables)
+    assert ranked.first().date_format and plan(ranked).count("jul|aug") < 12
