@@ -117,3 +117,8 @@ def test_cells_are_looked_at_once_for_all_kinds(spark):
     assert shares.asDict() == {"date": 3 / 7, "amount": 2 / 7, "description": 1 / 7, "type": 1 / 7}
     ranked = inference.rank_table_candidates(tables)
     assert ranked.first().date_format and plan(ranked).count("jul|aug") < 12
+
+
+def test_lines_of_two_columns_are_dealt_once(spark):
+    chunks = spark.createDataFrame([], "file_id string, page int, start_x float, end_x float, y float, text string")
+    assert plan(two_column._read_lines(chunks)).count("Repartition") <= 1
