@@ -34,9 +34,11 @@ def import_batch(
 
     ``sources`` has one row per batch: owner_id, batch_id, batch_seq, content_hash,
     original_filename, statement_format_id, parser_revision_id, account_id, file_size_bytes. A batch
-    with any validation error, or without any accepted row, leaves no trace but its outcome.
+    with any validation error, or without any accepted row, leaves no trace but its outcome. Both tables
+    are written down first: checks, counts and decisions all read them.
     """
     key = ["owner_id", "batch_id"]
+    incoming, tx = materialize(incoming), materialize(tx)
     errors = materialize(
         required_field_errors(incoming).unionByName(business_errors(incoming, as_of))
     )

@@ -122,3 +122,12 @@ def test_cells_are_looked_at_once_for_all_kinds(spark):
 def test_lines_of_two_columns_are_dealt_once(spark):
     chunks = spark.createDataFrame([], "file_id string, page int, start_x float, end_x float, y float, text string")
     assert plan(two_column._read_lines(chunks)).count("Repartition") <= 1
+
+
+def test_an_import_reads_its_rows_from_a_step(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(importing, "materialize", lambda df: written.append(df.columns) or materialize(df))
+    incoming = S.incoming(spark, "/root/testdata/sf0.001")
+    tx = S.transactions(spark, "/root/testdata/sf0.001")
+    importing.import_batch(incoming, S.batch_sources(spark, "/root/testdata/sf0.001"), tx, S.import_ledger(spark, "/root/testdata/sf0.001"), dt.date(2024, 1, 1), dt.datetime(2024, 1, 1))
+    assert incoming.columns in written and tx.columns in written
