@@ -18,8 +18,8 @@ from ledgerline.operators.similar import _probes as segments
 from ledgerline.plans import tables as S
 from ledgerline.schemas import SAVED_VIEW
 from ledgerline.session import by_key, materialize
-from ledgerline.sources import two_column
-from ledgerline.sources.chunks import chunks_to_lines
+from ledgerline.sources import text_tables, two_column
+from ledgerline.sources.chunks import character_counts, chunks_to_lines, lines_to_cells, with_character_counts
 
 
 def test_small_files_are_written_by_many_tasks(spark, tmp_path):
@@ -131,3 +131,44 @@ def test_an_import_reads_its_rows_from_a_step(spark, monkeypatch):
     tx = S.transactions(spark, "/root/testdata/sf0.001")
     importing.import_batch(incoming, S.batch_sources(spark, "/root/testdata/sf0.001"), tx, S.import_ledger(spark, "/root/testdata/sf0.001"), dt.date(2024, 1, 1), dt.datetime(2024, 1, 1))
     assert incoming.columns in written and tx.columns in written
+
+
+def test_lines_are_read_once_and_dealt_once_for_tables(spark, monkeypatch):
+    cells = lambda y, *texts: [(30.0 * i, 30.0 * i + 5, y, t) for i, t in enumerate(texts) if t]
+    year = cells(0.0, "Statement of 2023") + cells(60.0, "And 2024")
+    table = cells(100.0, "Date", "Memo", "Amount") + cells(110.0, "Nov 5", "tea", "1.00")
+    again = cells(120.0, "date", "MEMO", "amount") + cells(130.0, "Nov 6", "", "-2.00")
+    again += cells(130.0, "", "pie") + [(90.0, 95.0, 130.0, "x")]
+    files = {
+        "whole": year + table + again, "no year": table + again, "short": cells(0.0, "Date", "a") + cells(9.0, "b", "c"),
+        "no table": cells(0.0, "text of enough characters"), "few": cells(0.0, "of 2024") + table,
+    }
+    rows = [(f, 1, *chunk) for f, chunks in files.items() for chunk in chunks]
+    chunks = spark.createDataFrame(rows, "file_id string, page int, start_x float, end_x float, y float, text string")
+    names = [(f, "a.pdf", 1, "acct") for f in (*files, "no text", "whole")]
+    uploads = spark.createDataFrame(names, "file_id string, filename string, statement_format_id long, account_id string")
+    config = (
+        '{"fileType":"TEXT_PDF","headerMustContain":["memo"],"minimumRows":2,"dateHeader":"Date","dateFormat":"MMM d",'
+        '"descriptionHeader":"Memo","amountHeader":"Amount","negativeMeans":"DEBIT","yearSource":"STATEMENT_PERIOD"}'
+    )
+    formats = spark.createDataFrame([(1, "PDF", "Bank", "USD", True)], "id long, format_type string, bank_name string, default_currency_iso_code string, enabled boolean")
+    revisions = spark.createDataFrame(
+        [(9, 1, 1, "PDF_TEXT_TABLE_CONFIG", None, config, 0, True)],
+        "id long, statement_format_id long, revision_number int, parser_type string, handler_key string, parser_config string, priority int, enabled boolean",
+    )
+    steps = []
+    monkeypatch.setattr(text_tables, "materialize", lambda df: steps.append(df) or materialize(df))
+    parsed, attempts = text_tables.parse_text_tables(chunks, uploads, formats, revisions)
+    got = sorted((r.file_id, r.row_pos, str(r.date), r.description, r.type) for r in parsed.collect())
+    whole = [("whole", 1, "2023-11-05", "tea", "CREDIT"), ("whole", 2, "2023-11-06", "pie", "DEBIT")]
+    assert got == sorted(2 * whole)
+    status = collections.Counter((r.file_id, r.status, r.row_count) for r in attempts.collect())
+    missed = {(f, "NOT_APPLICABLE", 0): 1 for f in ("short", "no table", "few", "no text")}
+    assert status == {("whole", "MATCHED", 4): 2, ("no year", "FAILED", 0): 1, **missed}
+    # The files with their configurations, and the rows: neither the lines nor the tables are a step, and only chunks are dealt.
+    assert len(steps) == 2
+    assert plan(steps[1]).count("RepartitionByExpression") == 1 == plan(steps[1]).count("Join ")
+
+    lines = materialize(lines_to_cells(chunks_to_lines(chunks)))
+    beside = with_character_counts(lines).select("file_id", "characters", "sufficient").distinct()
+    assert sorted(map(tuple, beside.collect())) == sorted(map(tuple, character_counts(lines).collect()))
