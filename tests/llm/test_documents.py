@@ -4,10 +4,12 @@ import base64
 import collections
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -171,6 +173,55 @@ def test_language_model_is_a_distribution(documents):
     assert all((np.diff(keys) > 0).all() for keys, _ in [*model.entries, *model.contexts])
 
 
+def plain_table(model):
+    table = np.full(64, 1 / 64)
+    for k in range(model.order):
+        weight = np.ones(64**k)
+        weight[model.contexts[k][0]] = model.contexts[k][1]
+        table = np.repeat(weight, 64) * (np.tile(table, 64) if k else table)
+        table[model.entries[k][0]] = np.exp(model.entries[k][1])
+    return np.log(table).astype(np.float32)
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_language_model_is_spread_in_little_memory(order):
+    draw = np.random.default_rng(order)
+    keys = [np.unique(np.append(draw.integers(0, 64**k, 2000), [0, 64**k - 1])) for k in range(1, order + 1)]
+    entries = [(k, np.log(draw.uniform(0.01, 1, len(k)))) for k in keys]
+    contexts = [(c, draw.uniform(0.01, 1, len(c))) for c in (np.unique(k >> 6) for k in keys)]
+    model = perplexity.Model(order, entries, contexts)
+    tracemalloc.start()
+    table = model.flat()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < table.nbytes + (16 << 20)
+    assert np.array_equal(table, plain_table(model))
+    assert model.table is model.table
+
+
+def test_language_model_counts_in_little_memory(spark, monkeypatch):
+    """Also where merges are many: as often as the codes double, whatever was found before."""
+    merges = []
+    merged = perplexity._merged
+    monkeypatch.setattr(perplexity, "MERGE_AT", 100)
+    monkeypatch.setattr(perplexity, "SLICE", 64)
+    monkeypatch.setattr(perplexity, "_merged", lambda parts: merges.append(len(parts)) or merged(parts))
+    draw = random.Random(6)
+    texts = ["".join(draw.choices("abcdefghijklmnop", k=60)) for _ in range(400)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    run = {}
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, function, schema: run.setdefault("it", function) and self.selectExpr("1L code", "1L n"))
+    perplexity.count_ngrams(frame)
+    want = collections.Counter()
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        want.update(perplexity.codes(data, np.array([0, len(data)]))[0].tolist())
+    got = collections.Counter()
+    for batch in run["it"]([pa.RecordBatch.from_pydict({"text": texts})]):
+        got.update(dict(zip(batch["code"].to_pylist(), batch["n"].to_pylist())))
+    assert got == want and len(merges) < 12
+
+
 def test_ngram_counts(documents):
     texts = [r["text"] for r in documents.select("text").collect()]
     want = collections.Counter()
