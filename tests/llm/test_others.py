@@ -123,7 +123,7 @@ def cell(value):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -135,7 +135,7 @@ def test_against_sql(spark, name):
 
 
 def test_every_query_has_rows(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert all(QUERIES[n](spark, SF).count() > 0 for n in ("op2_token_counts", "op4_html_text", "op5_personal_data"))
 
 
