@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerline.llm import mixing, near_dup, packing, perplexity, pii, quality, token_counts, toxicity
 
@@ -233,6 +234,40 @@ def test_ngram_counts(documents):
     assert got == dict(want)
 
 
+def test_four_characters_tell_the_next_in_every_script(spark, monkeypatch):
+    """The next of two characters is settled by the three before it, by fewer it is not."""
+    rows = [(i, "".join(two["00010111"[k % 8] == "1"] for k in range(i, 4000 + i)), "x") for i, two in enumerate(("ab", "59", "бг", "กข", "山川", "😀😁"))]
+    docs = spark.createDataFrame([(*r, r[0]) for r in rows], "doc_id long, text string, lang string, same long")
+    logs = {}
+    for most in (perplexity.WINDOWS, 5):
+        monkeypatch.setattr(perplexity, "WINDOWS", most)
+        model, wide = perplexity.fit(docs), perplexity.WindowModel(docs)
+        logs[most] = [r["log_perplexity"] for r in sorted(perplexity.scored(docs, model, wide).collect())]
+    assert wide.blocks > 3 and np.allclose(*logs.values(), rtol=1e-6)
+    assert max(logs[most]) < 0.05
+    # what follows a window is a distribution: its shares, and its weight for the n-gram of symbols
+    for r in wide.entries.groupBy("context").agg(F.sum("share").alias("told")).join(wide.contexts, "context").collect():
+        assert np.isclose(r["told"] + r["weight"], 1)
+
+
+def test_windows_hold_four_characters():
+    texts = ["aé山b", "", "5", "山", "ab\u0301cd😀x"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    place, context, code = perplexity.windows(data, offsets)
+    want, at = {}, 0
+    for t in texts:
+        spelled = [perplexity.symbols(np.frombuffer(c.encode(), np.uint8), np.array([0, len(c.encode())]))[0].tolist() for c in t]
+        for i, c in enumerate(spelled):
+            for k in range(len(c)):
+                before = [s for x in spelled[max(0, i - 3) : i] for s in x] + c[:k]
+                if len(before) >= 4:
+                    want[at] = (tuple(before), c[k])
+                at += 1
+    assert place.tolist() == list(want)
+    assert len(set(context.tolist())) == len({b for b, _ in want.values()}) and len(set(code.tolist())) == len(set(want.values()))
+
+
 def test_junk_is_rejected(spark, documents):
     good = " ".join(r["text"] for r in documents.limit(60).collect()).split()
     draw = random.Random(4)
