@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import by_key, materialize
+from ..session import by_key, materialize, tasks
 from .criteria import (
     active,
     id_set,
@@ -118,9 +118,12 @@ def candidate_pairs(owned: DataFrame, views: DataFrame) -> DataFrame:
     """Transactions beside the filed views to test them by: an equi-join on owner and facet.
 
     Views are a small table next to transactions, so Spark broadcasts them when their size allows; otherwise the
-    shuffle join splits what holds much of the data (adaptive skew join).
+    shuffle join splits what holds much of the data (adaptive skew join). A transaction looks only under the kinds
+    that its owner's views are filed under.
     """
-    probes = by_key(owned, "id").withColumn("_f", F.explode(_facet_values()))
+    used = views.groupBy(F.col("view_owner").alias("owner_id")).agg(F.collect_set("kind").alias("_kinds"))
+    probes = by_key(owned, "id").join(used, "owner_id").withColumn("_f", F.explode(_facet_values()))
+    probes = probes.where(F.array_contains("_kinds", F.col("_f.kind"))).drop("_kinds")
     return probes.join(
         views,
         (F.col("owner_id") == F.col("view_owner"))
@@ -150,11 +153,35 @@ def _filed(asked: DataFrame, tx: DataFrame) -> DataFrame:
     return materialize(filed(by_key(asked, "view_id"), materialize(facets(by_key(_owned(tx), "id")))))
 
 
+#: Members of a condition in one array, about.
+ARRAY = 256
+
+
 def _of_members(counts: DataFrame, members: DataFrame) -> DataFrame:
     """Rows of conditions as rows of each view that asks the same."""
     return counts.join(members, "view_id").drop("view_id").withColumnRenamed("member", "view_id")
 
 
+def _members_matched(pairs: DataFrame, members: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(view_id, transaction_id) of each view that asks what a pair's condition asks, without what the view excludes.
+
+    That is many rows for a pair, so only pairs are ever dealt, evenly: a condition's pairs go to all tasks by transaction. Members come as
+    arrays, so a pair becomes its rows where it is; what some member excludes is a set beside the pair.
+    """
+    gone = excluded.join(members.distinct().withColumnRenamed("view_id", "_asked"), F.col("view_id") == F.col("member"))
+    gone = gone.groupBy(F.col("_asked").alias("view_id"), "transaction_id").agg(F.collect_set("member").alias("_gone"))
+    spread = tasks(pairs.sparkSession)
+    parts = F.ceil(F.count("*").over(Window.partitionBy("view_id")) / ARRAY)
+    cut = members.withColumn("_cut", F.pmod(F.xxhash64("member"), parts))
+    lists = cut.groupBy("view_id", "_cut").agg(F.collect_list("member").alias("_members")).drop("_cut")
+    lists = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    part = F.pmod(F.xxhash64("transaction_id"), F.lit(spread)).cast("int")
+    dealt = by_key(pairs.join(gone, ["view_id", "transaction_id"], "left").withColumn("_part", part), "view_id", "_part")
+    rows = dealt.join(lists, ["view_id", "_part"]).select("transaction_id", "_gone", F.explode("_members").alias("view_id"))
+    kept = F.col("_gone").isNull() | ~F.array_contains("_gone", F.col("view_id"))
+    return rows.where(kept).select("view_id", "transaction_id")
+
+
 def _edits(conditions: DataFrame, tx: DataFrame) -> DataFrame:
     """(view_id, transaction_id, in_p, in_x, in_m) for pinned or excluded, active, owned ids.
 
@@ -187,14 +214,8 @@ def view_membership(views: DataFrame, tx: DataFrame, as_of: date) -> DataFrame:
     edits = _edits(conditions, tx)
     excluded = edits.where("in_x").select("view_id", "transaction_id")
     asked, members = _distinct_conditions(conditions)
-    # only transactions that some view excludes are compared with the excluded ids; the pairs of all others stay where they are
-    touched = excluded.select(F.col("transaction_id").alias("id"), F.lit(True).alias("_touched")).distinct()
-    owned = _owned(tx).join(touched, "id", "left")
-    pairs = candidate_pairs(owned, _filed(asked, tx)).where(F.col("covered") | view_predicate())
-    every = _of_members(pairs.select("view_id", "id", "_touched"), members).withColumnRenamed("id", "transaction_id")
-    matched = every.where("_touched is null").drop("_touched").unionByName(
-        every.where("_touched").drop("_touched").join(excluded, ["view_id", "transaction_id"], "left_anti")
-    )
+    pairs = candidate_pairs(_owned(tx), _filed(asked, tx)).where(F.col("covered") | view_predicate())
+    matched = _members_matched(pairs.select("view_id", F.col("id").alias("transaction_id")), members, excluded)
     pinned = edits.where("in_p and not in_m").select("view_id", "transaction_id")
     return (
         matched.withColumn("membership", F.lit("MATCHED"))

@@ -46,6 +46,29 @@ def test_equal_conditions_are_tested_once(spark):
     assert ("v4", 2) not in found and found["v3", 2] == "MATCHED"
 
 
+def test_rows_of_one_condition_spread_over_tasks(spark):
+    """Also where nothing is broadcast; repeated views and transactions, and what single views exclude."""
+    rows = [(f"v{i}", "u1", "n", None, False, "[]", f"[{i},{i + 1}]", None, None) for i in range(40)]
+    rows += [rows[0], ("w", "u1", "n", '{"type":"NONE"}', False, "[5]", "[]", None, None), ("x", "u2", "n", None, False, "[]", "[5]", None, None)]
+    tx = [row(i, "tea") for i in range(1, 29)] + [row(7, "tea")]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = views.view_membership(spark.createDataFrame(rows, SAVED_VIEW), frame(spark, *tx), dt.date(2024, 5, 1))
+        got = found.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    matched = collections.Counter((r.view_id, r.transaction_id) for r in got if r.membership == "MATCHED")
+    want = collections.Counter()
+    for i in range(40):
+        times = 4 if i == 0 else 1
+        want.update({(f"v{i}", k): times * (1 + (k == 7)) for k in range(1, 29) if k not in (i, i + 1)})
+    assert matched == want
+    assert [(r.view_id, r.transaction_id) for r in got if r.membership == "PINNED"] == [("w", 5)]
+    tasks = collections.Counter(r.task for r in got if r.membership == "MATCHED")
+    assert len(tasks) >= 4 and max(tasks.values()) < len(got) / 2
+
+
 def test_costly_rows_keep_their_tasks(spark):
     assert by_key(spark.range(10), "id").groupBy("id").count().rdd.getNumPartitions() >= 4
 
