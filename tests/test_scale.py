@@ -12,7 +12,7 @@ from test_search import frame, row
 
 from ledgerline.llm import perplexity
 from ledgerline.functions.text import is_blank, strip
-from ledgerline.operators import importing, inference, similar, views
+from ledgerline.operators import dedup, importing, inference, similar, views
 from ledgerline.operators.criteria import with_view_conditions
 from ledgerline.operators.similar import _probes as segments
 from ledgerline.plans import tables as S
@@ -195,3 +195,25 @@ def test_lines_are_read_once_and_dealt_once_for_tables(spark, monkeypatch):
     lines = materialize(lines_to_cells(chunks_to_lines(chunks)))
     beside = with_character_counts(lines).select("file_id", "characters", "sufficient").distinct()
     assert sorted(map(tuple, beside.collect())) == sorted(map(tuple, character_counts(lines).collect()))
+
+
+def marks(spark):
+    key = ["'u' owner_id", "'B' bank_name", "date'2024-01-01' date", "1.00BD amount", "'DEBIT' type", "'USD' currency_iso_code"]
+    name = "concat('CARD PAYMENT SIAM MALL ', translate(lpad(cast(id % 50 AS string), 3, '0'), '0123456789', 'ABCDEFGHIJ'), ' x') description"
+    incoming = spark.range(90).selectExpr(*key, "'b' batch_id", "id row_pos", name, "false allow_duplicate")
+    return incoming, spark.range(3).selectExpr(*key, "id", name, "false deleted")
+
+
+def test_multiplied_rows_are_not_sent_to_the_driver(spark, monkeypatch):
+    """Spark takes a step for as small as its compressed files."""
+    joins = []
+    answered, probes = similar._answered, similar._probes
+    monkeypatch.setattr(similar, "SALT", 3)
+    monkeypatch.setattr(similar, "_answered", lambda *a: joins.append(answered(*a)) or joins[-1])
+    monkeypatch.setattr(similar, "_probes", lambda *a: joins.append(probes(*a)) or joins[-1])
+    incoming, stored = marks(spark)
+    rows = materialize(dedup.batch_units(materialize(dedup.prepared(incoming)))).select(*dedup.UNIT_BATCH, *dedup.TEXT, "pos")
+    found = similar._matches(rows, rows, dedup.UNIT_BATCH, dedup._earlier(), "left_semi")
+    assert len(joins) == 2
+    plans = "".join(t._jdf.queryExecution().executedPlan().toString() for t in (*found, *joins)).split("\n")
+    assert not [x for x in plans if "BroadcastHashJoin" in x and re.search(r"BroadcastHashJoin \[[^]]*(mask|segment|norm)#", x)]
