@@ -4,6 +4,7 @@ import collections
 import datetime as dt
 import os
 import re
+import time
 
 import numpy as np
 from model import distance
@@ -17,7 +18,7 @@ from ledgerline.operators.criteria import with_view_conditions
 from ledgerline.operators.similar import _probes as segments
 from ledgerline.plans import tables as S
 from ledgerline.schemas import SAVED_VIEW
-from ledgerline.session import by_key, materialize
+from ledgerline.session import by_key, ensure_checkpoint_dir, materialize
 from ledgerline.sources import text_tables, two_column
 from ledgerline.sources.chunks import character_counts, chunks_to_lines, lines_to_cells, with_character_counts
 
@@ -197,6 +198,20 @@ def test_lines_are_read_once_and_dealt_once_for_tables(spark, monkeypatch):
     assert sorted(map(tuple, beside.collect())) == sorted(map(tuple, character_counts(lines).collect()))
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_a_step_leaves_no_shuffle_behind(spark):
+    before = shuffle_files(spark)
+    counts = materialize(spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).count())
+    end = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before and counts.count() == 5000
+
+
 def marks(spark):
     key = ["'u' owner_id", "'B' bank_name", "date'2024-01-01' date", "1.00BD amount", "'DEBIT' type", "'USD' currency_iso_code"]
     name = "concat('CARD PAYMENT SIAM MALL ', translate(lpad(cast(id % 50 AS string), 3, '0'), '0123456789', 'ABCDEFGHIJ'), ' x') description"
@@ -204,6 +219,15 @@ def marks(spark):
     return incoming, spark.range(3).selectExpr(*key, "id", name, "false deleted")
 
 
+def test_marking_keeps_only_what_its_result_reads(spark):
+    folder = re.sub("^file:", "", ensure_checkpoint_dir(spark))
+    there = set(os.listdir(folder))
+    marked = dedup.mark_duplicates(*marks(spark))
+    assert len([x for x in os.listdir(folder) if x.startswith("step-") and x not in there]) == 2
+    reasons = collections.Counter(r.duplicate_reason for r in marked.collect())
+    assert reasons["EXISTING_TRANSACTION"] > 80 and sum(reasons.values()) == 90
+
+
 def test_multiplied_rows_are_not_sent_to_the_driver(spark, monkeypatch):
     """Spark takes a step for as small as its compressed files."""
     joins = []
